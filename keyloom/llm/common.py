@@ -5,8 +5,11 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +117,25 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of whole rows whose texts hold about `most` bytes; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(size) - size) // most
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(size)]]) if len(size) else [0]
+    for a, b in zip(cut, cut[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A-Z lower-cased words [^\\x20\\x09-\\x0D]+ of all texts in order, and each text's number of them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, per = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    end = np.cumsum(per)
+    return flat.filter(real), before[end] - before[end - per]
+
+
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     """Just the named columns, cast; one that is missing is null. Other columns, however named, are left behind."""
     have = {c: i for i, c in reversed(list(enumerate(df.columns)))}
