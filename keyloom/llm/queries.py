@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .grid_join import op3_grid_join
 from .ngram import op8_ngram_scores
 from .simhash import op9_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_scores, op9_simhash)}
+    return {f.__name__: f for f in (op3_grid_join, op8_ngram_scores, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
