@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .grid_join import op3_grid_join
+from .licenses import op6_license_scan
 from .ngram import op8_ngram_scores
 from .secrets import op10_secret_scan
 from .simhash import op9_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_grid_join, op8_ngram_scores, op9_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_grid_join, op6_license_scan, op8_ngram_scores, op9_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -183,5 +183,6 @@ def joined(spans: Column) -> Column:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("found", lambda s: s["rank"] < F.lit(3))
-    n = [F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    n = [count(r.kind) for r in RULES if r.base]
     return found.select("doc_id", *n, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
