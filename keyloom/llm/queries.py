@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .chat import op2_chat_format
 from .grid_join import op3_grid_join
 from .licenses import op6_license_scan
 from .ngram import op8_ngram_scores
@@ -14,8 +16,8 @@ from .simhash import op9_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_grid_join, op6_license_scan, op8_ngram_scores, op9_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_chat_format, op3_grid_join, op6_license_scan, op8_ngram_scores, op9_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.oracle()}
