@@ -1 +1,96 @@
-"""Queries."""
+"""Queries of keyframes: a user's events play a property, seconds its times, values its keyframes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import keyframes
+from ..sources.corpus import table
+from .registry import query
+
+#: Keyframes lie a minute apart at least, so that some fall together.
+KFS = "kfs as (select user_id as prop, epoch_ms(ts) // 60000 * 60 as t, value, event_id as seq from events)"
+
+
+def kfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("prop"), F.expr("timestampdiff(MINUTE, timestamp_ntz'1970-01-01 00:00:00', ts) * 60").alias("t"), "value", F.col("event_id").alias("seq"))
+
+
+@query(f'with {KFS}, o as (select prop, t, arg_min(value, seq) as start from kfs group by 1, 2) select prop, t, round(start, 6) as start, round(lead(start) over (partition by prop order by t), 6) as "end" from o')
+def keyframe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyframes.merge(kfs(spark, sf_dir), "prop", "t", "value", "seq").select("prop", "t", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(f'with {KFS}, o as (select prop, t, arg_max(value, seq) as start from kfs group by 1, 2) select prop, t, round(start, 6) as start, round(lead(start) over (partition by prop order by t), 6) as "end" from o')
+def keyframe_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyframes.upsert(kfs(spark, sf_dir), "prop", "t", "value", "seq").select("prop", "t", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+SEGMENTS = f"""{KFS}, clicks as (select prop, t, arg_min(value, seq) as start from kfs where seq % 2 = 0 group by 1, 2),
+segments as (select prop, t, start, lead(start) over w as stop, lead(t) over w as next, min(t) over (partition by prop) as first_t from clicks window w as (partition by prop order by t)),
+asked as (select distinct prop, t + 30 as t from kfs where seq % 2 = 1)"""
+
+
+@query(f"""with {SEGMENTS} select a.prop, a.t, round(case when s.prop is null then f.start when s.stop is null then s.start else s.start * (1 - (a.t - s.t) / (s.next - s.t)::double) + s.stop * ((a.t - s.t) / (s.next - s.t)::double) end, 6) as value
+from asked a left join segments s on s.prop = a.prop and s.t <= a.t and (s.next is null or a.t < s.next) left join segments f on f.prop = a.prop and f.t = f.first_t""")
+def value_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kfs(spark, sf_dir)
+    segments = keyframes.merge(rows.where("seq % 2 = 0"), "prop", "t", "value", "seq")
+    asked = rows.where("seq % 2 = 1").select("prop", (F.col("t") + 30).alias("t")).distinct()
+    return keyframes.value_at(segments, asked, "prop", "t").select("prop", "t", F.round("value", 6).alias("value"))
+
+
+@query(f"""with {KFS}, k as (select prop, t, arg_min(value, seq) as start from kfs where prop < 40 group by 1, 2), docs as (select prop, prop // 4 as doc from (select distinct prop from k)),
+segments as (select prop, t, start, lead(start) over w as stop, lead(t) over w as next, min(t) over (partition by prop) as first_t from k window w as (partition by prop order by t)),
+asked as (select d.prop, x.t from docs d join (select distinct prop // 4 as doc, t from k) x using (doc)),
+v as (select a.prop, a.t, case when s.prop is null then f.start when s.stop is null then s.start else s.start * (1 - (a.t - s.t) / (s.next - s.t)::double) + s.stop * ((a.t - s.t) / (s.next - s.t)::double) end as start
+from asked a left join segments s on s.prop = a.prop and s.t <= a.t and (s.next is null or a.t < s.next) left join segments f on f.prop = a.prop and f.t = f.first_t)
+select prop, t, round(start, 6) as start, round(lead(start) over (partition by prop order by t), 6) as "end" from v""")
+def union_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = keyframes.merge(kfs(spark, sf_dir).where("prop < 40"), "prop", "t", "value", "seq").withColumn("doc", F.floor(F.col("prop") / 4))
+    out = keyframes.union_resample(segments, "doc", "prop", "t")
+    return out.select("prop", "t", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query("select p_partkey, f as frame, f / 24.0::double as seconds from (select p_partkey, unnest(range(p_partkey % 5, p_partkey % 5 + p_size + 1, 1 + p_partkey % 3)) as f from part)")
+def frame_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("ip"), "p_size")
+    out = keyframes.frames(p, F.col("ip"), F.col("ip") + F.col("p_size"), 1 + F.col("p_partkey") % 3)
+    return out.select("p_partkey", "frame", (F.col("frame") / 24.0).alias("seconds"))
+
+
+@query("select p_partkey, round((p_size * (1 - p_partkey % 10 / 10.0::double) + (p_size + 48) * (p_partkey % 10 / 10.0::double)) - 3, 6) as local_time from part")
+def precomp_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time inside a nested composition: between its in and out points by the ratio, less its start."""
+    r = F.col("p_partkey") % 10 / 10.0
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_size") * (1 - r) + (F.col("p_size") + 48) * r - 3, 6).alias("local_time"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as k from embeddings)
+select vec_id, list_transform(range(0, 4), lambda i: round(k[4 * i + 1], 6)) as offsets, list_transform(range(0, 4), lambda i: round(case when vec_id % 2 = 0 then k[16 + 2 * i + 2] else 1.0::double end, 6)) as alphas from e""")
+def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("embedding").cast("array<double>")
+    packed = F.when(F.col("vec_id") % 2 == 0, F.slice(k, 1, 24)).otherwise(F.slice(k, 1, 16))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", g.gradient_stops(packed, F.lit(4)).alias("s"))
+    return e.select("vec_id", F.transform("s", lambda s: F.round(s["offset"], 6)).alias("offsets"), F.transform("s", lambda s: F.round(s["color"][3], 6)).alias("alphas"))
+
+
+@query("""with recursive r as (select vec_id, vec_id % 11 / 10.0::double as ratio, 0.42::double as x1, 0.1::double as y1, 0.58::double as x2, 0.9::double as y2 from embeddings),
+s as (select *, 0.0::double as low, 1.0::double as high, 0 as k from r union all
+  select vec_id, ratio, x1, y1, x2, y2, case when l then (low + high) / 2 else low end, case when l then high else (low + high) / 2 end, k + 1 from
+  (select *, 3 * (1 - m) * (1 - m) * m * x1 + 3 * (1 - m) * m * m * x2 + m * m * m < ratio as l from (select *, (low + high) / 2 as m from s where k < 24)))
+select vec_id, round(case when ratio <= 0 or ratio >= 1 then ratio else 3 * (1 - m) * (1 - m) * m * y1 + 3 * (1 - m) * m * m * y2 + m * m * m end, 5) as factor from (select *, (low + high) / 2 as m from s where k = 24)""")
+def easing_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    factor = g.ease(F.lit(0.42), F.lit(0.1), F.lit(0.58), F.lit(0.9), F.col("vec_id") % 11 / 10.0)
+    return e.select("vec_id", F.round(factor, 5).alias("factor"))
+
+
+@query(f"""with {KFS}, k as (select prop, t, arg_max(value, seq) as v from kfs group by 1, 2), s as (select prop, t, v, lead(v) over (partition by prop order by t) as nx from k)
+select prop, t, round(v + sin(t / 600.0::double) * 5, 6) as x, round(coalesce(nx, v) - v, 6) as dx from s""")
+def sine_displace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sine displacement of a property's values, and the step to the next keyframe."""
+    k = keyframes.upsert(kfs(spark, sf_dir), "prop", "t", "value", "seq")
+    return k.select("prop", "t", F.round(F.col("start") + F.sin(F.col("t") / 600.0) * 5, 6).alias("x"), F.round(F.coalesce("end", "start") - F.col("start"), 6).alias("dx"))

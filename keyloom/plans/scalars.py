@@ -1 +1,181 @@
-"""Queries."""
+"""Queries of scalar functions on texts, pages, parts, customers and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..functions import text as t
+from ..operators import pixels
+from ..sources.corpus import table
+from .registry import query
+
+
+@query(r"""select page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(substr(html, 1, 300), '[<>:"/\\|?*\n\r\t]', '_', 'g'), '[\s_]+', '_', 'g'), '_ '), 180), ''), 'unnamed') as name from pages""")
+def sanitize_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", t.sanitize_filename(F.substring("html", 1, 300)).alias("name"))
+
+
+@query(r"""with r as (select doc_id, case doc_id % 4 when 0 then 'The video shows ' when 1 then 'in this image, ' when 2 then '' else 'THE IMAGE FEATURES' end || ' ' || left(text, 200) as x from documents),
+p as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, 'the video features?', '', 'gi'), 'the video shows?', '', 'gi'), 'the image features?', '', 'gi'), 'the image shows?', '', 'gi'), 'this image', '', 'gi'), 'in this image,?', '', 'gi'), '\s+', ' ', 'g')) as x from r)
+select doc_id, md5(upper(left(x, 1)) || substr(x, 2)) as text_md5 from p""")
+def simplify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.expr("case doc_id % 4 when 0 then 'The video shows ' when 1 then 'in this image, ' when 2 then '' else 'THE IMAGE FEATURES' end")
+    x = F.concat(lead, F.lit(" "), F.left("text", F.lit(200)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.simplify_description(x).cast("binary")).alias("text_md5"))
+
+
+COLORS = ("#f80", "#1E90ff", "rgb(255, 128, 0)", "rgba(100%, 50%, 0%, 0.25)", "hsl(120, 100%, 25%)", "hsla(240, 50%, 50%, 50%)", "transparent", "teal", "no color")
+#: What those are, for DuckDB: reckoned by hand.
+CHANNELS = ([1, 8 / 15, 0, 1], [30 / 255, 144 / 255, 1, 1], [1, 128 / 255, 0, 1], [1, 0.5, 0, 0.25], [0, 0.5, 0, 1], [0.25, 0.25, 0.75, 0.5], [0, 0, 0, 0], [0, 128 / 255, 128 / 255, 1], None)
+
+
+@query("with c as (select unnest(range(0, 9)) as k, unnest([" + ", ".join("null" if c is None else "[" + ", ".join(f"round({x!r}::double, 6)" for x in c) + "]" for c in CHANNELS) + "]) as rgba) select p_partkey, rgba from part join c on k = p_partkey % 9")
+def css_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.array(*map(F.lit, COLORS))[(F.col("p_partkey") % 9).cast("int")]
+    return table(spark, sf_dir, "part").select("p_partkey", F.transform(t.css_color(text), lambda c: F.round(c, 6)).alias("rgba"))
+
+
+UNIT_SQL = "case u when '' then 1.0::double when 'px' then 1.0::double when 'in' then 96.0::double when 'pc' then 16.0::double when 'pt' then 96.0::double / 72 when 'cm' then 96 / 2.54::double when 'mm' then 9.6 / 2.54::double when 'Q' then 2.4 / 2.54::double when 'vw' then 6.4::double when 'vh' then 4.8::double when 'vmin' then 4.8::double when 'vmax' then 6.4::double end"
+
+
+@query(f"select p_partkey, round(p_size * 1.5::double * {UNIT_SQL}, 6) as px from (select *, (['', 'px', 'in', 'pc', 'pt', 'cm', 'mm', 'Q', 'vw', 'vh', 'vmin', 'vmax', 'em'])[p_partkey % 13 + 1] as u from part)")
+def css_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.array(*map(F.lit, ["", "px", "in", "pc", "pt", "cm", "mm", "Q", "vw", "vh", "vmin", "vmax", "em"]))[(F.col("p_partkey") % 13).cast("int")]
+    value = F.concat((F.col("p_size") * F.lit(1.5).cast("double")).cast("string"), u)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(t.units(value, F.lit(640.0), F.lit(480.0)), 6).alias("px"))
+
+
+@query("""select p_partkey, case p_partkey % 5 when 0 then p_size * 24.0::double when 1 then (3600 + p_size % 60 * 60 + 2.5::double) * 24 when 2 then p_size * 60 * 24.0::double when 3 then p_size * 3600 * 24.0::double end as frames from part""")
+def clock_to_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clock = F.expr("case p_partkey % 5 when 0 then p_size || 's' when 1 then '01:' || lpad(p_size % 60, 2, '0') || ':02.5' when 2 then p_size || 'min' when 3 then p_size || 'h' else p_size || 'ms' end")
+    return table(spark, sf_dir, "part").select("p_partkey", t.clock_to_frames(clock, F.lit(24.0)).alias("frames"))
+
+
+PATH = "'M ' || p_size || ',' || p_partkey || ' c-1.5e1 .5 2-3 4,5z L' || p_retailprice"
+
+
+@query(rf"select p_partkey, regexp_extract_all({PATH}, '([MmLlHhVvCcSsQqTtAaZz]|[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)', 1) as tokens from part")
+def svg_path_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", t.path_tokens(F.expr(PATH)).alias("tokens"))
+
+
+@query("select p_partkey, p_name as fill, cast(p_size as varchar) as width, p_size % 2 = 1 as doubled from part")
+def style_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    style = F.concat(F.lit(" fill : "), F.col("p_name"), F.lit("; stroke-width:"), F.col("p_size"), F.lit(";; bad ;"))
+    dashes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), "p_size")), lambda x: x.cast("double"))
+    m = t.style_map(style)
+    return table(spark, sf_dir, "part").select("p_partkey", m["fill"].alias("fill"), m["stroke-width"].alias("width"), (F.size(t.dash_pairs(dashes)) == F.size(dashes)).alias("doubled"))
+
+
+@query("select url, lower(regexp_extract(url, '[^/.](\\.[^/.]+)$', 1)) as suffix, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') as slug from pages")
+def path_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("url", t.suffix(F.col("url")).alias("suffix"), t.slug(F.col("url")).alias("slug"))
+
+
+VECTOR_SQL = "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select vec_id, [v[1], v[2], v[3]] as a, [v[4], v[5], v[6]] as b, [[v[1], v[2]], [v[3], v[4]], [v[5], v[6]], [v[7], v[8]]] as c from e)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    v = F.col("embedding").cast("array<double>")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.slice(v, 2 * k + 1, 2).alias(f"c{k}") for k in range(4)], F.slice(v, 1, 3).alias("a"), F.slice(v, 4, 3).alias("b"))
+    return e, [F.col(f"c{k}") for k in range(4)]
+
+
+@query(f"""{VECTOR_SQL} select vec_id, round(a[1] * b[1] + a[2] * b[2] + a[3] * b[3], 6) as dot, round(sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]), 6) as norm,
+round(a[1] * b[2] - a[2] * b[1], 6) as cross_z, round(a[1] * 0.75::double + b[1] * 0.25::double, 6) as lerp_x, round(cos(a[1]) * a[2], 6) as polar_x from p""")
+def vector_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, _ = points(spark, sf_dir)
+    a, b = F.col("a"), F.col("b")
+    return e.select(
+        "vec_id",
+        F.round(g.dot(a, b), 6).alias("dot"),
+        F.round(g.norm(a), 6).alias("norm"),
+        F.round(g.cross(a, b)[2], 6).alias("cross_z"),
+        F.round(g.lerp(a, b, F.lit(0.25))[0], 6).alias("lerp_x"),
+        F.round(g.polar(a[0], a[1])[0], 6).alias("polar_x"),
+    )
+
+
+BEZIER = "0.343::double * c[1][{i}] + 0.441::double * c[2][{i}] + 0.189::double * c[3][{i}] + 0.027::double * c[4][{i}]"
+
+
+@query(f"""{VECTOR_SQL} select vec_id, round({BEZIER.format(i=1)}, 6) as x, round({BEZIER.format(i=2)}, 6) as y, round({BEZIER.format(i=1)}, 6) as split_x,
+round(degrees(atan2(0.49::double * (c[2][2] - c[1][2]) + 0.42::double * (c[3][2] - c[2][2]) + 0.09::double * (c[4][2] - c[3][2]), 0.49::double * (c[2][1] - c[1][1]) + 0.42::double * (c[3][1] - c[2][1]) + 0.09::double * (c[4][1] - c[3][1]))), 4) as angle from p""")
+def bezier_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, c = points(spark, sf_dir)
+    at = g.bezier_point(c, F.lit(0.3))
+    left, _ = g.bezier_split(c, F.lit(0.3))
+    return e.select("vec_id", F.round(at[0], 6).alias("x"), F.round(at[1], 6).alias("y"), F.round(left[-1][0], 6).alias("split_x"), F.round(g.bezier_angle(c, F.lit(0.3)), 4).alias("angle"))
+
+
+@query(f"""{VECTOR_SQL}, q as (select vec_id, unnest(range(0, 9)) as k, c from p), s as (select vec_id, k / 8.0::double as t, k, c from q),
+xy as (select vec_id, k, (1 - t) ** 3 * c[1][1] + 3 * (1 - t) ** 2 * t * c[2][1] + 3 * (1 - t) * t * t * c[3][1] + t ** 3 * c[4][1] as x, (1 - t) ** 3 * c[1][2] + 3 * (1 - t) ** 2 * t * c[2][2] + 3 * (1 - t) * t * t * c[3][2] + t ** 3 * c[4][2] as y from s),
+d as (select vec_id, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from xy window w as (partition by vec_id order by k))
+select vec_id, round(sum(step), 5) as length from d group by 1""")
+def bezier_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, c = points(spark, sf_dir)
+    return e.select("vec_id", F.round(g.bezier_length(c), 5).alias("length"))
+
+
+@query("""select p_partkey, round(cos(radians(a)) * sx * (3 - ax) - sin(radians(a)) * sy * (4 - ay) + 10, 5) as x, round(sin(radians(a)) * sx * (3 - ax) + cos(radians(a)) * sy * (4 - ay) + 20, 5) as y
+from (select p_partkey, p_size * 7.0::double as a, p_size / 50.0::double as sx, 2.0::double as sy, p_partkey % 5 as ax, p_partkey % 3 as ay from part)""")
+def affine_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lambda c: c.cast("double")
+    m = g.layer_transform(F.array(d(F.col("p_partkey") % 5), d(F.col("p_partkey") % 3)), F.array(F.col("p_size") * 2.0, F.lit(200.0)), F.col("p_size") * 7.0, F.array(F.lit(10.0), F.lit(20.0)))
+    one = table(spark, sf_dir, "part").select("p_partkey", m.alias("m"))
+    at = g.apply(F.col("m"), F.lit(3.0), F.lit(4.0))
+    return one.select("p_partkey", F.round(at[0], 5).alias("x"), F.round(at[1], 5).alias("y"))
+
+
+RGB_SQL = "with c as (select p_partkey, p_partkey % 11 / 10.0::double as r, p_partkey % 7 / 6.0::double as g, p_size / 50.0::double as b from part), m as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from c)"
+LINEAR = "case when {c} > 0.04045 then (({c} + 0.055::double) / 1.055::double) ** 2.4::double else {c} / 12.92::double end"
+LAB_F = "case when {c} > 0.008856 then {c} ** (1 / 3.0::double) else {c} * 7.787::double + 16 / 116.0::double end"
+
+
+def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_partkey") % 11 / 10.0, F.col("p_partkey") % 7 / 6.0, F.col("p_size") / 50.0).alias("rgb"))
+
+
+@query(f"""{RGB_SQL}, h as (select *, case when hi = lo then 0 when hi = r then (((g - b) / (hi - lo)) % 6 + 6) % 6 when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end / 6 as hue from m),
+l as (select *, {LINEAR.format(c='r')} as lr, {LINEAR.format(c='g')} as lg, {LINEAR.format(c='b')} as lb from h),
+x as (select *, (0.4124564::double * lr + 0.3575761::double * lg + 0.1804375::double * lb) / 0.95047::double as x, 0.2126729::double * lr + 0.7151522::double * lg + 0.0721750::double * lb as y, (0.0193339::double * lr + 0.1191920::double * lg + 0.9503041::double * lb) / 1.08883::double as z from l)
+select p_partkey, round(hue, 5) as hue, round(case when hi = 0 then 0 else (hi - lo) / hi end, 5) as saturation, round((hi + lo) / 2, 5) as lightness, round(y, 5) as xyz_y,
+round(116 * ({LAB_F.format(c='y')}) - 16, 4) as lab_l, round(500 * (({LAB_F.format(c='x')}) - ({LAB_F.format(c='y')})), 4) as lab_a, round(200 * (({LAB_F.format(c='y')}) - ({LAB_F.format(c='z')})), 4) as lab_b from x""")
+def color_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = colors(spark, sf_dir)
+    hsv, hsl, xyz = g.rgb_to_hsv(F.col("rgb")), g.rgb_to_hsl(F.col("rgb")), g.rgb_to_xyz(F.col("rgb"))
+    mid = c.select("p_partkey", hsv.alias("hsv"), hsl.alias("hsl"), xyz.alias("xyz"))
+    lab = g.xyz_to_lab(F.col("xyz"))
+    return mid.select(
+        "p_partkey",
+        F.round(F.col("hsv")[0], 5).alias("hue"),
+        F.round(F.col("hsv")[1], 5).alias("saturation"),
+        F.round(F.col("hsl")[2], 5).alias("lightness"),
+        F.round(F.col("xyz")[1], 5).alias("xyz_y"),
+        *[F.round(lab[k], 4).alias(f"lab_{n}") for k, n in enumerate("lab")],
+    )
+
+
+@query("select vec_id, list_concat(list_transform([1, 2, 3], lambda k: cast(round_even(least(1, greatest(0, embedding[k]::double * 5)) * 255, 0) as int)), [case when vec_id % 2 = 0 then 128 else 255 end]) as rgba from embeddings")
+def color_255(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    three = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 5)
+    return e.select("vec_id", g.color_255(F.when(F.col("vec_id") % 2 == 0, F.concat(three, F.array(F.lit(0.5)))).otherwise(three)).alias("rgba"))
+
+
+@query("""with p as (select p_partkey // 40 as y, p_partkey % 40 as x, p_size % 3 as color from part),
+r as (select y, x, color, x - row_number() over (partition by y, color order by x) as run from p)
+select y, min(x) as x, count(*) as width, color from r group by y, color, run""")
+def pixel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).alias("y"), (F.col("p_partkey") % 40).alias("x"), (F.col("p_size") % 3).alias("color"))
+    return pixels.runs(p, []).select("y", "x", "width", "color")
+
+
+@query("""with p as (select p_partkey, p_partkey % 11 / 10.0::double as r, p_partkey % 7 / 6.0::double as g, p_size / 50.0::double as b from part),
+k as (select unnest(['black', 'red', 'lime', 'blue', 'white']) as name, unnest([0, 1, 0, 0, 1]) as kr, unnest([0, 0, 1, 0, 1]) as kg, unnest([0, 0, 0, 1, 1]) as kb)
+select p_partkey, arg_min(name, round((r - kr) ** 2 + (g - kg) ** 2 + (b - kb) ** 2, 9) || name) as name from p, k group by 1""")
+def quantize_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    palette = {"black": (0.0, 0.0, 0.0), "red": (1.0, 0.0, 0.0), "lime": (0.0, 1.0, 0.0), "blue": (0.0, 0.0, 1.0), "white": (1.0, 1.0, 1.0)}
+    return colors(spark, sf_dir).select("p_partkey", pixels.nearest(F.col("rgb"), palette).alias("name"))
