@@ -10,7 +10,7 @@ a spanning forest. Keys with more than HOT rows are cut into segments and each p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -67,10 +67,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return columns_or_null(docs, doc_id="bigint", text="string").mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 
+def bits_of(fp: np.ndarray) -> np.ndarray:
+    """(fingerprints, bits) of fingerprints of one 64-bit word each, or of rows of several."""
+    wide = np.ascontiguousarray(fp.reshape(len(fp), -1))
+    return np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+
+
 def planes(fp: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints: (64, words), candidate i at bit i % 64 of word i // 64."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    pad = np.zeros((64, -(-len(fp) // 64) * 64), np.uint8)
+    """Bit planes of fingerprints: (bits, words), candidate i at bit i % 64 of word i // 64."""
+    bits = bits_of(fp)
+    pad = np.zeros((bits.shape[1], -(-len(fp) // 64) * 64), np.uint8)
     pad[:, : len(fp)] = bits.T
     return np.packbits(pad, axis=1, bitorder="little").view(np.uint64)
 
@@ -84,6 +90,9 @@ def near(queries: np.ndarray, vertical: np.ndarray, n: int, order: list[int], ra
     width = (radius + 1).bit_length()
     alive, words = np.arange(len(queries)), vertical.shape[1]
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    flip = np.where(bits_of(queries), full, np.uint64(0))
+    # half of the bits of strangers differ: about here their counters pass the radius
+    stops = {3 * (k // 3) for k in (2 * radius + 4, 2 * radius + 12, 3 * radius + 6, 3 * radius + 16, 4 * radius + 24) if k < len(order)}
     count = [np.zeros((len(queries), words), np.uint64) for _ in range(width)]
     over = np.zeros((len(queries), words), np.uint64)
     if n % 64:
@@ -107,8 +116,8 @@ def near(queries: np.ndarray, vertical: np.ndarray, n: int, order: list[int], ra
                 same &= ~count[k]
         return more
 
-    for at in range(0, 64, 3):
-        diff = [vertical[b][None, :] ^ np.where(queries[alive] >> np.uint64(b) & np.uint64(1), full, np.uint64(0))[:, None] for b in order[at : at + 3]]
+    for at in range(0, len(order), 3):
+        diff = [vertical[b][None, :] ^ flip[alive, b][:, None] for b in order[at : at + 3]]
         if len(diff) == 3:
             a, b, c = diff
             half = a ^ b
@@ -117,7 +126,7 @@ def near(queries: np.ndarray, vertical: np.ndarray, n: int, order: list[int], ra
         else:
             for x in diff:
                 add(x, 0)
-        if at in (12, 18, 24, 30, 39):
+        if at in stops:
             over |= passed()
             live = (over != full).any(1)
             if not live.any():
@@ -138,17 +147,16 @@ def plane_order(key: int) -> list[int]:
     return [b for b in range(64) if b not in inside] + inside
 
 
-def link_sorted(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among fingerprints sorted by key; all rows of a key are here.
+def link_sorted(key: np.ndarray, fp: np.ndarray, order_of: Callable[[int], list[int]], radius: int = RADIUS, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row, row) among fingerprints sorted by key; all rows of a key are here.
 
     Slices of the sequence are compared with themselves and, while a key runs on, with the slices after.
     Slices whose members are one component by then are skipped: no comparison could change anything.
     """
-    n = len(fp)
+    n, size = len(fp), size or SLICE
     label = np.arange(n)
-    cut = list(range(0, n, SLICE)) + [n]
+    cut = list(range(0, n, size)) + [n]
     made = [planes(fp[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-    order = {k: plane_order(k) for k in np.unique(key >> 22).tolist()}
     for s in range(len(made)):
         a, b = cut[s], cut[s + 1]
         for t in range(s, len(made)):
@@ -160,7 +168,7 @@ def link_sorted(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 stop = c + int(np.searchsorted(key[c:d], key[c], "right"))
                 if (label[a:b] == label[a]).all() and (label[c:stop] == label[a]).all():
                     continue
-            i, j = near(fp[a:b], made[t], d - c, order[int(key[c] >> 22)])
+            i, j = near(fp[a:b], made[t], d - c, order_of(int(key[c])), radius)
             i, j = i + a, j + c
             live = label[i] != label[j]
             if live.any():
@@ -171,37 +179,55 @@ def link_sorted(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 to[nodes[node]] = nodes[low]
                 label = to[label]
     moved = np.flatnonzero(label != np.arange(n))
-    return fp[moved], fp[label[moved]]
+    return moved, label[moved]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (key, seg); whole keys are gathered up to a bounded number of rows."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def grouped(batches: Iterator[pa.RecordBatch], most: int, columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Rows that arrive sorted by (key, seg), in runs of whole groups with about `most` rows, groups of one row left out."""
+    held: list[list] = []
     seen, rows = None, 0
 
-    def flush(parts: list) -> pa.RecordBatch:
-        key, seg, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        group = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])]))
-        # a key of its own for each (key, segment pair) that shares its block pair's plane order
-        number = (key >> 22 << 22) + np.repeat(np.arange(len(group)), np.diff(np.append(group, len(key)))) % (1 << 22)
-        alone = np.diff(np.append(group, len(key))) > 1
-        keep = np.repeat(alone, np.diff(np.append(group, len(key))))
-        a, b = link_sorted(number[keep], fp[keep].view(np.uint64)) if keep.any() else (np.empty(0, np.uint64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def run(parts: list[list]) -> list[np.ndarray] | None:
+        got = [np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for y in x for v in y] for x in zip(*parts, strict=True)]
+        key, seg = got[:2]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])]))
+        size = np.diff(np.append(first, len(key)))
+        keep = np.repeat(size > 1, size)
+        number = np.repeat(np.arange(len(first)), size)
+        return [key[keep], number[keep], *[np.array(x, dtype=object)[keep] if isinstance(x, list) else x[keep] for x in got[2:]]] if keep.any() else None
 
     for batch in batches:
-        key, seg, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "seg", "fp"))
-        if not len(key):
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(cols[0]):
             continue
-        if rows > 200_000 and (fresh := np.flatnonzero((key != seen[0]) | (seg != seen[1]))).size:
+        if rows > most and (fresh := np.flatnonzero((cols[0] != seen[0]) | (cols[1] != seen[1]))).size:
             at = fresh[0]
-            held.append((key[:at], seg[:at], fp[:at]))
-            yield flush(held)
-            held, rows, key, seg, fp = [], 0, key[at:], seg[at:], fp[at:]
-        held.append((key, seg, fp))
-        seen, rows = (key[-1], seg[-1]), rows + len(key)
-    if rows:
-        yield flush(held)
+            held.append([c[:at] for c in cols])
+            if (out := run(held)) is not None:
+                yield out
+            held, rows, cols = [], 0, [c[at:] for c in cols]
+        held.append(cols)
+        seen, rows = (cols[0][-1], cols[1][-1]), rows + len(cols[0])
+    if held and (out := run(held)) is not None:
+        yield out
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    orders = [plane_order(k) for k in range(15)]
+    for key, number, fp in grouped(batches, 200_000, ("key", "seg", "fp")):
+        # a number for each (key, segment pair), with the pair of blocks in front
+        a, b = link_sorted((key >> 22 << 22) + number % (1 << 22), fp.view(np.uint64), lambda k: orders[k >> 22])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+
+
+def segments(rows: DataFrame, by: str) -> DataFrame:
+    """rows with a column seg: keys with over HOT rows are cut by `by`, and each pair of their segments is a group of its own."""
+    hot = rows.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    dealt = rows.join(hot, "key", "left").withColumn("mine", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("parts"))).cast("int"))
+    seg = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("mine")).cast("bigint") * F.col("parts") + F.greatest(o, F.col("mine")))
+    )
+    return dealt.select(*rows.columns, F.explode(seg).alias("seg"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -211,15 +237,8 @@ def links(fps: DataFrame) -> DataFrame:
         part = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in (x, y)]
         keys.append(F.lit(k << 22).cast("bigint") + F.shiftleft(part[0], y[1]) + part[1])
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = rows.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-    dealt = rows.join(hot, "key", "left").withColumn("mine", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int"))
-    seg = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("mine")).cast("bigint") * F.col("parts") + F.greatest(o, F.col("mine")))
-    )
-    # two blocks agree anyway; of a cut key, each pair of its segments meets once
-    dealt = dealt.select("key", "fp", F.explode(seg).alias("seg"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_links, "a bigint, b bigint")
+    return segments(rows, "fp").repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,6 +257,98 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return each.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Of similar documents: words to a shingle, bits of a fingerprint, how similar, and how many bits may differ for that.
+WIDTH, WIDE, SIMILARITY, WIDE_RADIUS = 5, 256, 0.8, 44
+#: Rows that share a key if nothing is alike, share of pairs at SIMILARITY that no key finds, rows compared at a time.
+BUCKET, LOST, WIDE_SLICE = 32, 0.02, 256
+
+
+def bands(n: int) -> np.ndarray:
+    """(keys, bits): which bits of a fingerprint make each key, for n fingerprints.
+
+    Strangers share b bits in one of 2^b cases, pairs at SIMILARITY in (1 - angle / pi)^b: keys get as many bits
+    as keep buckets small, and there are as many keys as leave LOST of those pairs without a common one.
+    """
+    b = int(min(24, max(8, np.ceil(np.log2(max(n, 2) / BUCKET)))))
+    agree = 1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
+    count = int(np.ceil(np.log(LOST) / np.log1p(-(agree**b))))
+    rng = np.random.default_rng(11)
+    return np.stack([rng.permutation(WIDE)[:b] for _ in range(count)])
+
+
+def wide_majority(h: np.ndarray) -> bytes:
+    """WIDE bits from the shingles' hashes and mixes of them; ties go to the smallest hash, so few shingles give no fewer ones."""
+    if not len(h):
+        return bytes(WIDE // 8)
+    total = np.zeros(WIDE, np.int64)
+    mixes = np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        x = x[:, None] + mixes[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return bits_of(x ^ (x >> np.uint64(31)))
+
+    for at in range(0, len(h), 1 << 14):
+        total += spread(h[at : at + (1 << 14)]).sum(0, dtype=np.int64)
+    tie = spread(h.min(keepdims=True))[0] > 0
+    return np.packbits((2 * total > len(h)) | ((2 * total == len(h)) & tie), bitorder="little").tobytes()
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lower = pc.ascii_lower(pc.fill_null(b.column("text"), ""))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([wide_majority(shingle_hashes(t.as_py(), WIDTH)) for t in lower], pa.binary())], ["doc_id", "fp"])
+
+
+def _keys(which: np.ndarray) -> Callable:
+    weight = np.int64(1) << np.arange(which.shape[1], dtype=np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                bits = bits_of(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(part.num_rows, -1))
+                key = (bits[:, which] @ weight) + (np.arange(len(which), dtype=np.int64) << 32)
+                rows = np.repeat(np.arange(part.num_rows), len(which))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column("node").take(pa.array(rows)), part.column("fp").take(pa.array(rows))], ["key", "node", "fp"])
+
+    return keys
+
+
+def _wide_links(which: np.ndarray) -> Callable:
+    orders = [[b for b in range(WIDE) if b not in set(w.tolist())] + w.tolist() for w in which]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, number, node, fp in grouped(batches, 100_000, ("key", "seg", "node", "fp")):
+            wide = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
+            a, b = link_sorted((key >> 32 << 32) + number, wide, lambda k: orders[k >> 32], WIDE_RADIUS, WIDE_SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return link
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """A row (doc_id, component_id) for each row of docs: near duplicates by 5-word shingles, about 0.8 alike or more.
+
+    64 bits can't tell 0.8 from 0.6, and at the distance that 0.8 makes they take strangers for copies; so
+    fingerprints have WIDE bits here, of which WIDE_RADIUS may differ, and pairs meet under keys of sampled bits
+    (see bands). component_id is the smallest doc_id reached over such links. Documents without words are one group.
+    Null ids, repeated rows and empty tables as in near_duplicates.
+    """
+    spark = docs.sparkSession
+    each = Table(columns_or_null(docs, doc_id="bigint", text="string").mapInArrow(_wide, "doc_id bigint, fp binary"), "wide").df
+    fps = Table(each.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "nodes").df
+    which = bands(fps.count())
+    worded = fps.where(F.col("fp") != F.lit(bytes(WIDE // 8))).select("node", "fp")
+    rows = segments(worded.mapInArrow(_keys(which), "key bigint, node bigint, fp binary"), "node")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    linked = rows.select("key", "seg", "node", "fp").repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_wide_links(which), "a bigint, b bigint")
+    named = fps.join(components(linked), "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
+    label = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
+    return each.join(label, "fp").select("doc_id", "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -3,7 +3,7 @@
 import sentencepiece
 from test_decontam import plain as leaks
 from test_pii import plain as spans
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import wide_components
 
 import corpus_pipeline
 from keyloom.llm import pieces, quality
@@ -29,8 +29,7 @@ def test_stages(spark):
     assert sum(right) >= 0.95 * len(right)
 
     single = stage[order[1]](spark, good, SF).cache()
-    fps = [(i, plain_fingerprint(r.text)) for i, r in rows(good).items()]
-    assert single.columns == docs.columns and set(rows(single)) == set(plain_components(fps))
+    assert single.columns == docs.columns and set(rows(single)) == set(wide_components([(i, r.text) for i, r in rows(good).items()]))
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     pure = stage[order[2]](spark, single, SF).cache()
