@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import codec
+from ..operators import codec, drawing_codec
 from ..sources.corpus import table
 from .registry import query
 
@@ -93,3 +93,22 @@ def parse_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("(layer X="), "p_size", F.lit(' nm="a b")\n(group)\n  (point X='), (F.col("p_size") / 2.0).cast("string"), F.lit(" Y=[1, 2])\n(/group)\n(/layer)"))
     rows = codec.from_text(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
     return rows.select("doc_id", "pos", "command", "depth", F.col("params")["X"].alias("x"))
+
+
+def drawings_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .documents import drawings
+
+    return drawings(spark, sf_dir)
+
+
+@query()
+def encode_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing_codec.encode_drawings(drawings_of_parts(spark, sf_dir), "p_partkey", "text", BASE, longest=4096)
+
+
+@query("""with l as (select (p_partkey % 7 in (0, 1, 3, 5) or p_partkey % 7 = 4 and p_size % 5 <> 0 and p_size % 4 <> 0)::int + (p_size % 6 in (0, 1, 3, 5) or p_size % 6 = 4 and p_size % 4 <> 1)::int as n from part)
+select count(*) as total, count(*) as encoded, count(*) as decoded, cast(sum(n) as bigint) as layers from l""")
+def roundtrip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape layers without shapes that the language knows are lost to the repair; all other layers of supported types come back."""
+    out = drawing_codec.roundtrip_report(drawings_of_parts(spark, sf_dir), "p_partkey", "text", BASE)
+    return out.select("total", "encoded", "decoded", "layers")
