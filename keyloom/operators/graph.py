@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
+
 
 def parent_of(layers: DataFrame) -> DataFrame:
     """layers (doc_id, ind, parent, pos) with the first layer that has the parent's index, and the parent if there is one."""
@@ -27,12 +29,14 @@ def matte_source(layers: DataFrame, doc: str, pos: str, ind: str, matted: Column
 def ancestor_sums(layers: DataFrame, value: str) -> DataFrame:
     """(doc, ind, depth, value): the number and the sum of a layer and its ancestors, by pointer doubling.
 
-    Each round doubles the distance that a layer sees, so a chain of n layers takes log2 n joins, not n. A layer
-    whose parent isn't there is a root; a cycle ends after as many rounds as its document's layers can need.
+    Each round doubles the distance that a layer sees, so a chain of n layers takes log2 n joins, not n; rounds
+    are checkpointed, so that each plans one join. A layer whose parent isn't there is a root; a cycle ends after as many
+    rounds as its document's layers can need.
     """
     state = layers.select("doc", "ind", F.col("parent").alias("up"), F.lit(1).alias("depth"), F.col(value).alias(value))
     longest = layers.groupBy("doc").count().agg(F.max("count")).first()[0] or 1
     for _ in range(max(1, (longest - 1).bit_length())):
+        state = cut(state)
         above = state.select("doc", F.col("ind").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col(value).alias("value2"))
         both = state.join(above, ["doc", "up"], "left")
         state = both.select("doc", "ind", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col(value) + F.coalesce("value2", F.lit(0))).alias(value))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import shapes
 from ..functions import text as t
-from ..operators import pixels
+from ..operators import pixels, restructure
 from ..sources.corpus import table
 from .registry import query
 
@@ -179,3 +180,36 @@ select p_partkey, arg_min(name, round((r - kr) ** 2 + (g - kg) ** 2 + (b - kb) *
 def quantize_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     palette = {"black": (0.0, 0.0, 0.0), "red": (1.0, 0.0, 0.0), "lime": (0.0, 1.0, 0.0), "blue": (0.0, 0.0, 1.0), "white": (1.0, 1.0, 1.0)}
     return colors(spark, sf_dir).select("p_partkey", pixels.nearest(F.col("rgb"), palette).alias("name"))
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then 8 else 4 end as n_vertices, round(10 + p_size / 2.0::double, 6) as right, round(case when p_partkey % 3 = 0 then -2 * 0.5519::double else 0 end, 6) as handle from part where p_size >= 4""")
+def shape_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where("p_size >= 4")
+    size = F.col("p_size").cast("double")
+    curve = shapes.rectangle(F.lit(10.0), F.lit(20.0), size, F.lit(40.0), F.when(F.col("p_partkey") % 3 == 0, 2.0).otherwise(0.0))
+    c = p.select("p_partkey", curve.alias("c"))
+    return c.select("p_partkey", F.size("c").alias("n_vertices"), F.round(F.col("c")[0]["v"][0], 6).alias("right"), F.round(F.col("c")[0]["i"][1], 6).alias("handle"))
+
+
+@query("""select p_partkey, round(sx * (cos(radians(30.0::double)) * 3 - sin(radians(30.0::double)) * 4) + 5, 5) as x, round(sx * (sin(radians(30.0::double)) * 3 + cos(radians(30.0::double)) * 4) - 6, 5) as y from (select p_partkey, p_size * 1.0::double as sx from part)""")
+def svg_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("translate(5,-6) scale("), "p_size", F.lit(") rotate(30)"))
+    p = table(spark, sf_dir, "part").select("p_partkey", shapes.svg_transform(text).alias("m"))
+    at = g.apply(F.col("m"), F.lit(3.0), F.lit(4.0))
+    return p.select("p_partkey", F.round(at[0], 5).alias("x"), F.round(at[1], 5).alias("y"))
+
+
+@query("select p_partkey, round(least(512.0::double / (p_size * 20), 512.0::double / 640), 6) as scale, case when p_size < 45 then 30 else 60 end as rate from part")
+def sticker_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(restructure.sticker_scale(F.col("p_size") * 20.0, F.lit(640.0)), 6).alias("scale"), restructure.sticker_rate(F.col("p_size")).alias("rate"))
+
+
+@query("""with s as (select o_custkey as g, o_orderkey as pos, case o_orderstatus when 'F' then 'fl' when 'O' then 'st' else 'sh' end as ty, o_orderpriority || o_orderkey as nm, cast(round(o_totalprice) as bigint) % 9 as width from orders)
+select g, arg_min(nm, pos) filter (ty = 'fl') as fill, arg_min(nm, (9 - width) * 10000000 + pos) filter (ty = 'st') as stroke, count(*) filter (ty = 'sh') as n_paths from s group by g""")
+def group_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("pos"), F.expr("case o_orderstatus when 'F' then 'fl' when 'O' then 'st' else 'sh' end").alias("ty"),
+        F.concat("o_orderpriority", "o_orderkey").alias("nm"), F.expr("cast(round(o_totalprice) as bigint) % 9").alias("width"),
+    )
+    return restructure.group_paint(o, ["g"])
