@@ -51,7 +51,38 @@ def mark(word: str) -> str:
     return f"{case}|{tail}"
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Coder:
+    """Buckets of words and marks; words seen lately are remembered, MEMORY of them at most."""
+
+    MEMORY = 400_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.marks: dict[str, tuple[int, int]] = {}
+
+    def one(self, w: str) -> int:
+        """The word's bucket, its mark's, and its mark's as a repetition, 20 bits each."""
+        if w.isalpha():
+            body, m = w.lower(), "lower|" if w.islower() else mark(w)
+        else:
+            body, m = "".join(filter(str.isalnum, w)).lower() or w, mark(w)
+        if m not in self.marks:
+            self.marks[m] = tuple(xxhash.xxh32_intdigest((p + m).encode("utf-8", "surrogatepass")) % MARKS for p in ("", "again|"))
+        first, again = self.marks[m]
+        return xxhash.xxh32_intdigest(body.encode("utf-8", "surrogatepass")) % WORDS | first << 20 | again << 40
+
+    def codes(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = self.known
+        if len(known) > self.MEMORY:
+            known.clear()
+        for w in some:
+            if w not in known:
+                known[w] = self.one(w)
+        packed = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+        return packed & 0xFFFFF, packed >> 20 & 0xFFFFF, packed >> 40
+
+
+def tokens(texts: pa.Array, coder: Coder | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets and mark buckets of all words, and each text's number of words."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat, per = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -60,36 +91,26 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end = np.cumsum(per)
     per = before[end] - before[end - per]
     coded = flat.filter(real).dictionary_encode()
-    some, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    core = np.empty(len(some), np.int32)
-    marks = np.empty((2, len(some)), np.int32)
-    cache: dict[str, tuple[int, int]] = {}
-    for i, w in enumerate(some):
-        body = "".join(c for c in w if c.isalnum()).lower() or w
-        core[i] = xxhash.xxh32_intdigest(body.encode("utf-8", "surrogatepass")) % WORDS
-        m = mark(w)
-        if m not in cache:
-            cache[m] = tuple(xxhash.xxh32_intdigest((p + m).encode("utf-8", "surrogatepass")) % MARKS for p in ("", "again|"))
-        marks[:, i] = cache[m]
+    (cores, firsts, agains), at = (coder or Coder()).codes(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+    core = cores[at]
     again = np.zeros(len(at), np.int64)
-    again[1:] = core[at[1:]] == core[at[:-1]]
-    start = (np.cumsum(per) - per)[per > 0]
-    again[start] = 0
-    return core[at], marks[again, at], per
+    again[1:] = core[1:] == core[:-1]
+    again[(np.cumsum(per) - per)[per > 0]] = 0
+    return core, np.where(again, agains[at], firsts[at]), per
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = index_vectors(WORDS, SEED)
-    total = np.zeros(WORDS * DIMS, np.int64)
+    total, coder = np.zeros(WORDS * DIMS, np.int64), Coder()
     for batch in batches:
         for b in slices(batch, "text"):
-            core, _, per = tokens(b.column("text"))
+            core, _, per = tokens(b.column("text"), coder)
             text = np.repeat(np.arange(len(per)), per)
             near = text[1:] == text[:-1]
             left, right = core[:-1][near], core[1:][near]
             for word, other in ((left, right), (right, left)):
                 for k in range(ONES):
-                    total += np.bincount(word.astype(np.int64) * DIMS + place[other, k], sign[other, k], WORDS * DIMS).astype(np.int64)
+                    total += np.bincount(word * DIMS + place[other, k], sign[other, k], WORDS * DIMS).astype(np.int64)
     for k, part in enumerate(np.split(total, PARTS)):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(part.astype(np.int32).tobytes(), codec="zstd", asbytes=True)])], ["part", "sums"])
 
@@ -112,14 +133,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def features(texts: pa.Array, vectors: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    core, mark_ids, per = tokens(texts)
+def sums(table: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows of the table summed over each run of ids that begins at start, in pieces of whole runs."""
+    out, stop = np.empty((len(start), table.shape[1])), np.append(start, len(ids))
+    piece = np.searchsorted(start, np.arange(0, len(ids), 1 << 16))
+    cut = np.unique(np.append(piece, len(start)))
+    for a, b in zip(np.append(0, cut[:-1]) if cut[0] else cut[:-1], cut if cut[0] else cut[1:], strict=True):
+        out[a:b] = np.add.reduceat(table[ids[stop[a] : stop[b]]], start[a:b] - start[a], axis=0, dtype=np.float64)
+    return out
+
+
+def features(texts: pa.Array, vectors: np.ndarray, marks: np.ndarray, coder: Coder | None = None) -> np.ndarray:
+    core, mark_ids, per = tokens(texts, coder)
     out = np.zeros((len(per), 2 * DIMS + 2))
     full = np.flatnonzero(per)
     if len(full):
         start = (np.cumsum(per) - per)[full]
         for at, table, ids in ((0, vectors, core), (DIMS, marks, mark_ids)):
-            out[full, at : at + DIMS] = np.add.reduceat(table[ids], start, axis=0, dtype=np.float64) / per[full, None]
+            out[full, at : at + DIMS] = sums(table, ids, start) / per[full, None]
     out[:, -2], out[:, -1] = (np.linalg.norm(out[:, a : a + DIMS], axis=1) for a in (0, DIMS))
     return out
 
@@ -179,10 +210,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
 
 def _features(vectors: np.ndarray) -> Callable:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = dense(*index_vectors(MARKS, SEED + 1))
+        marks, coder = dense(*index_vectors(MARKS, SEED + 1)), Coder()
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(features(b.column("text"), vectors, marks)), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(features(b.column("text"), vectors, marks, coder)), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     return each
 
@@ -206,10 +237,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
 def _scores(vectors: np.ndarray, net: Network, names: list[str]) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = dense(*index_vectors(MARKS, SEED + 1))
+        marks, coder = dense(*index_vectors(MARKS, SEED + 1)), Coder()
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.score(features(b.column("text"), vectors, marks)))], names)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.score(features(b.column("text"), vectors, marks, coder)))], names)
 
     return score
 
