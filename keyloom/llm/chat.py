@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_or_null
+from .common import columns_or_null, literal_rows
 
 #: The template's marks, and strings that other templates use for control.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -150,7 +150,7 @@ EXTRA = "</s>[INST] ok [/INST]"
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = columns_or_null(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv_id="bigint", turn="bigint", role="string", text="string")
-    extra = spark.createDataFrame([(-1, 0, "user", EXTRA), (-1, 1, "assistant", EXTRA)], rows.schema)
+    extra = literal_rows(spark, [(-1, 0, "user", EXTRA), (-1, 1, "assistant", EXTRA)], "conv_id bigint, turn bigint, role string, text string")
     formatted = gather(rows.unionByName(extra)).select("conv_id", render(F.col("chat_turns")).alias("chat_text"))
     back = formatted.select("conv_id", "chat_text", parse(F.col("chat_text")).alias("turns"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_LEFT: set[str] = set()
 
 
 def ship(name: str) -> None:
@@ -41,7 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/keyloom/{label}-{uuid.uuid4().hex}"
+    """A path of the application's own in the shared folder; all of them go when the driver's process ends."""
+    own = f"{shared_dir(spark)}/keyloom/{spark.sparkContext.applicationId}"
+    if own not in _LEFT:
+        _LEFT.add(own)
+        atexit.register(_leave, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        drop_path(spark, path)
 
 
 def posix(path: str) -> str:
@@ -136,6 +149,14 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), before[end] - before[end - per]
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals of the plan: no RDD, no Python."""
+    names, types = zip(*[f.strip().split(" ", 1) for f in schema.split(",")], strict=True)
+    empty = F.array().cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(names, types, strict=True)) + ">>")
+    made = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types, strict=True)]) for r in rows]) if rows else empty
+    return spark.range(1).select(F.inline(made))
+
+
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     """Just the named columns, cast; one that is missing is null. Other columns, however named, are left behind."""
     have = {c: i for i, c in reversed(list(enumerate(df.columns)))}

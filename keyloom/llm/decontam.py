@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, columns_or_null
+from .common import Table, columns_or_null, literal_rows
 from .licenses import lower_ascii
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -77,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = columns_or_null(benchmark, item_id="bigint", text="string").withColumn("n_words", F.size(words(F.col("text")))).where("n_words > 0").distinct()
     widths = sorted(r.width for r in items.select(F.least("n_words", F.lit(WIDTH)).alias("width")).distinct().collect())
     if not widths:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start_word int, n_words int, similarity double")
+        return literal_rows(docs.sparkSession, [], "doc_id bigint, item_id bigint, start_word int, n_words int, similarity double")
     item = by_width(items, widths).where(F.col("width") == F.least("n_words", F.lit(WIDTH)))
     item = Table(item.withColumn("item_fp", simhash("shingles")).withColumnRenamed("shingles", "item_shingles"), "items").df
     wanted = Table(item.select("n_words", F.explode("item_shingles").alias("shingle")).distinct(), "wanted").df

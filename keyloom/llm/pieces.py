@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Table, columns_or_null
+from .common import Table, columns_or_null, slices
 
 #: Where the model's file is; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -183,7 +183,7 @@ def _encode(model: bytes) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            for b in common.slices(batch, "text", 1 << 20):
+            for b in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 ids = sp.encode(texts, num_threads=1)
                 same = [d == t.replace("▁", " ") for d, t in zip(sp.decode(ids, num_threads=1) if ids else [], texts, strict=True)]

@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, columns_or_null
+from .common import Table, columns_or_null, literal_rows
 
 
 @dataclass(frozen=True)
@@ -130,11 +130,11 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     clauses = [(r.kind, c, g, len(cl)) for r in rules if (q := trigram_query(r.pattern)) != ALWAYS for c, cl in enumerate(sorted(map(sorted, q))) for g in cl]
     grams = sorted({g for _, _, g, _ in clauses})
     if not grams:
-        return spark.createDataFrame([], "doc_id bigint, kinds array<string>")
+        return literal_rows(spark, [], "doc_id bigint, kinds array<string>")
     lower = rows.select("doc_id", F.lower("text").alias("text"))
     posting = lower.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.contains("text", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
     index = Table(posting, "trigrams").df
-    asked = F.broadcast(spark.createDataFrame(clauses, "kind string, clause int, gram string, needs long"))  # a few rows for each rule
+    asked = F.broadcast(literal_rows(spark, clauses, "kind string, clause int, gram string, needs bigint"))  # a few rows for each rule
     met = index.join(asked, "gram").groupBy("doc_id", "kind", "clause", "needs").agg(F.count_distinct("gram").alias("n")).where("n = needs")
     return met.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
