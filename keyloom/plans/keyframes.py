@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import keyframes
+from ..operators import keyframes, typeset
 from ..sources.corpus import table
 from .registry import query
 
@@ -94,3 +94,31 @@ def sine_displace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sine displacement of a property's values, and the step to the next keyframe."""
     k = keyframes.upsert(kfs(spark, sf_dir), "prop", "t", "value", "seq")
     return k.select("prop", "t", F.round(F.col("start") + F.sin(F.col("t") / 600.0) * 5, 6).alias("x"), F.round(F.coalesce("end", "start") - F.col("start"), 6).alias("dx"))
+
+
+@query("""with t as (select p_partkey, p_name || chr(10) || 'AV ' || p_size as x from part), c as (select p_partkey, unnest(range(0, length(x))) as pos, x from t),
+s as (select p_partkey, pos, substr(x, pos + 1, 1) as char, substr(x, pos, 2) as pair, instr(x, chr(10)) - 1 as br from c),
+w as (select *, case char when chr(10) then 0.0::double when ' ' then 0.25::double when 'i' then 0.25::double else 0.5::double end as w, case when pair = 'AV' then -0.125::double else 0 end as k, (pos > br)::int as line from s)
+select p_partkey, pos, char, round(coalesce(sum(w) over (partition by p_partkey, line order by pos rows between unbounded preceding and 1 preceding), 0) + sum(k) over (partition by p_partkey, line order by pos), 6) as x, line * 1.5::double as y from w qualify char <> chr(10)""")
+def place_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("\nAV "), "p_size").alias("x"))
+    out = typeset.place_text(p, "p_partkey", "x", {" ": 0.25, "i": 0.25}, 0.5, {"AV": -0.125}, 1.5)
+    return out.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "char", F.round("x", 6).alias("x"), "y")
+
+
+@query("""with g as (select n_nationkey as id, case when n_nationkey % 3 = 1 then n_nationkey - 1 when n_nationkey % 3 = 2 then n_nationkey - 1 end as href from nation),
+s as (select n_nationkey - n_nationkey % 3 as id, n_name from nation where n_nationkey % 3 = 0)
+select g.id, cast(count(s.n_name) * 2 as int) as n_stops from g left join s on s.id = g.id - g.id % 3 group by 1""")
+def gradient_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    gradients = n.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") - 1).alias("href"))
+    stops = n.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).select("id", "pos", (F.col("pos") / 2).alias("offset"), F.lit("red").alias("color"))
+    return typeset.inherit_stops(gradients, stops).select("id", F.size("stops").alias("n_stops"))
+
+
+@query("select c_custkey as doc_id, cast(count(*) as bigint) as n, cast(sum((pos >= k)::int) as bigint) as padded from (select c_custkey, c_custkey % 5 as k, unnest(range(0, 4)) as pos from customer where c_custkey % 5 > 0) group by 1")
+def pad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 5 > 0")
+    rows = c.select(F.col("c_custkey").alias("doc_id"), F.explode(F.expr("sequence(0, cast(c_custkey % 5 as int) - 1)")).alias("pos")).select("doc_id", "pos", F.lit(3).alias("idx"), F.array(F.lit(1.0)).alias("params"))
+    out = typeset.pad_rows(rows, 4, 6).where(F.size("params") == 6)
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("idx") == typeset.PAD_COMMAND).alias("padded"))
