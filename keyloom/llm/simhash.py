@@ -10,6 +10,8 @@ a spanning forest. Keys with more than HOT rows are cut into segments and each p
 
 from __future__ import annotations
 
+import os
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -17,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Table, columns_or_null, components, spanning
+from .common import Table, columns_or_null, components, new_path, posix, spanning
 
 RADIUS = 4
 #: Bits of the 6 blocks; any 2 of them make a key of 21 or 22 bits.
@@ -257,23 +260,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return each.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of similar documents: words to a shingle, bits of a fingerprint, how similar, and how many bits may differ for that.
-WIDTH, WIDE, SIMILARITY, WIDE_RADIUS = 5, 256, 0.8, 44
-#: Rows that share a key if nothing is alike, share of pairs at SIMILARITY that no key finds, rows compared at a time.
-BUCKET, LOST, WIDE_SLICE = 32, 0.02, 256
-
-
-def bands(n: int) -> np.ndarray:
-    """(keys, bits): which bits of a fingerprint make each key, for n fingerprints.
-
-    Strangers share b bits in one of 2^b cases, pairs at SIMILARITY in (1 - angle / pi)^b: keys get as many bits
-    as keep buckets small, and there are as many keys as leave LOST of those pairs without a common one.
-    """
-    b = int(min(24, max(8, np.ceil(np.log2(max(n, 2) / BUCKET)))))
-    agree = 1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
-    count = int(np.ceil(np.log(LOST) / np.log1p(-(agree**b))))
-    rng = np.random.default_rng(11)
-    return np.stack([rng.permutation(WIDE)[:b] for _ in range(count)])
+#: Words to a shingle of similar documents; bits of their wide fingerprints, and how many differ at about 0.8.
+WIDTH, WIDE, WIDE_RADIUS = 5, 256, 44
+#: Documents whose shingles tell which are common: SAMPLE of them, about. Bits of a set's parity, as 64-bit words.
+SAMPLE, PARITY = 20_000, 16
+#: Pairs a task remembers as unlike.
+UNLIKE = 1 << 20
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -295,58 +287,196 @@ def wide_majority(h: np.ndarray) -> bytes:
     return np.packbits((2 * total > len(h)) | ((2 * total == len(h)) & tie), bitorder="little").tobytes()
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lower = pc.ascii_lower(pc.fill_null(b.column("text"), ""))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([wide_majority(shingle_hashes(t.as_py(), WIDTH)) for t in lower], pa.binary())], ["doc_id", "fp"])
+def alike(both: int, a: int, b: int) -> bool:
+    """Whether sets of a and b shingles with `both` in common are 0.8 alike or more, in whole numbers."""
+    return 9 * both >= 4 * (a + b)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct shingles of an already lower-cased text, ascending."""
+    return np.unique(shingle_hashes(text, WIDTH))
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY words: a bit says whether an odd number of shingles fall on it. Two sets differ in as many shingles as bits, at least."""
+    odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _write_sets(folder: str) -> Callable:
+    """Each document's set goes to a file of its partition: size, parity, shingles. node: partition << 40 | place in words."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        context = TaskContext.get()
+        part, own, at = context.partitionId(), f"{folder}/{context.taskAttemptId()}.tmp", 0
+        with open(own, "wb") as f:
+            for b in batches:
+                lower, digest, node = pc.ascii_lower(pc.fill_null(b.column("text"), "")), [], []
+                for t in lower:
+                    s = shingle_set(t.as_py())
+                    f.write(np.concatenate([np.array([len(s)], np.uint64), parity(s), s]).tobytes())
+                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    node.append(part << 40 | at)
+                    at += 1 + PARITY + len(s)
+                f.flush()
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "digest", "node"])
+        # an attempt's file takes the partition's name at once and whole; attempts read the same rows and write the same
+        os.replace(own, f"{folder}/{part}.bin")
+
+    return write
 
 
-def _keys(which: np.ndarray) -> Callable:
-    weight = np.int64(1) << np.arange(which.shape[1], dtype=np.int64)
+class Sets:
+    """Reads sets out of the files that tasks wrote, each by its node."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, OrderedDict()
+
+    def words(self, node: int, skip: int, n: int) -> np.ndarray:
+        part = node >> 40
+        if part not in self.files:
+            if len(self.files) >= 200:
+                os.close(self.files.popitem(last=False)[1])
+            self.files[part] = os.open(f"{self.folder}/{part}.bin", os.O_RDONLY)
+        out, at, left = [], 8 * ((node & (1 << 40) - 1) + skip), 8 * n
+        while left:
+            got = os.pread(self.files[part], left, at)
+            if not got:
+                raise EOFError(f"set {node} is cut off")
+            out.append(got)
+            at, left = at + len(got), left - len(got)
+        return np.frombuffer(b"".join(out), np.uint64)
+
+    def head(self, node: int) -> np.ndarray:
+        """The set's size and its parity."""
+        return self.words(node, 0, 1 + PARITY)
+
+    def shingles(self, node: int, n: int) -> np.ndarray:
+        return self.words(node, 1 + PARITY, n)
+
+    def close(self) -> None:
+        for fd in self.files.values():
+            os.close(fd)
+
+
+def _all_shingles(folder: str) -> Callable:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(folder)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                bits = bits_of(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(part.num_rows, -1))
-                key = (bits[:, which] @ weight) + (np.arange(len(which), dtype=np.int64) << 32)
-                rows = np.repeat(np.arange(part.num_rows), len(which))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column("node").take(pa.array(rows)), part.column("fp").take(pa.array(rows))], ["key", "node", "fp"])
+            for at in range(0, b.num_rows, 1000):
+                found = [sets.shingles(v, int(sets.head(v)[0])) for v in b.column("node").slice(at, 1000).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+        sets.close()
 
-    return keys
+    return read
 
 
-def _wide_links(which: np.ndarray) -> Callable:
-    orders = [[b for b in range(WIDE) if b not in set(w.tolist())] + w.tolist() for w in which]
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in one order for all sets, and whether each is common.
+
+    Two sets 0.8 alike or more share one of these at least, whatever the order: n less 0.8 n, rounded up, and one.
+    The order has common shingles (ascending, seen `often`) last, so few sets meet under them.
+    """
+    n = len(shingles)
+    seen = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        seen = np.where(common[at] == shingles, often[at], 0)
+    first = np.lexsort((shingles, seen))[: n - (4 * n + 4) // 5 + 1 if n else 0]
+    return shingles[first], seen[first] > 0
+
+
+def _prefixes(folder: str, common: np.ndarray, often: np.ndarray) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(folder)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                nodes = b.column("node").slice(at, 1000).to_numpy()
+                made = [prefix(sets.shingles(v, int(sets.head(v)[0])), common, often) for v in nodes.tolist()]
+                key, hot = (np.concatenate(x) for x in zip(*made, strict=True))
+                node = np.repeat(nodes, [len(k) for k, _ in made])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(hot)], ["key", "node", "common"])
+        sets.close()
+
+    return rows
+
+
+def _alike_links(folder: str) -> Callable:
+    """Links among the sets of each group, every pair that is not linked already decided by the sets themselves."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, number, node, fp in grouped(batches, 100_000, ("key", "seg", "node", "fp")):
-            wide = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
-            a, b = link_sorted((key >> 32 << 32) + number, wide, lambda k: orders[k >> 32], WIDE_RADIUS, WIDE_SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        sets, root, unlike = Sets(folder), {}, set()
+
+        def find(v: int) -> int:
+            while (up := root.get(v, v)) != v:
+                root[v] = root.get(up, up)
+                v = up
+            return v
+
+        for _, number, node in grouped(batches, 100_000, ("key", "seg", "node")):
+            a, b = [], []
+            for group in np.split(node, np.flatnonzero(np.diff(number)) + 1):
+                if len({find(v) for v in group.tolist()}) == 1:
+                    continue
+                heads = np.stack([sets.head(v) for v in group.tolist()])
+                order = np.argsort(heads[:, 0], kind="stable")
+                names, size, odd = group[order].tolist(), heads[order, 0].astype(np.int64), heads[order, 1:]
+                label = np.array([find(v) for v in names])
+                for i in range(len(names) - 1):
+                    stop = int(np.searchsorted(size, 5 * size[i] // 4, "right"))
+                    near = np.flatnonzero(label[i + 1 : stop] != label[i]) + i + 1
+                    # sets 0.8 alike differ in a ninth of their sizes' sum at most
+                    near = near[9 * np.bitwise_count(odd[near] ^ odd[i]).sum(1, dtype=np.int64) <= size[near] + size[i]]
+                    mine = None
+                    for j in near.tolist():
+                        pair = (min(names[i], names[j]), max(names[i], names[j]))
+                        if label[j] == label[i] or pair in unlike:
+                            continue
+                        mine = sets.shingles(names[i], int(size[i])) if mine is None else mine
+                        other = sets.shingles(names[j], int(size[j]))
+                        if alike(len(np.intersect1d(mine, other, assume_unique=True)), int(size[i]), int(size[j])):
+                            low, high = sorted((int(label[i]), int(label[j])))
+                            root[high] = low
+                            label[label == high] = low
+                            a.append(names[i])
+                            b.append(names[j])
+                        else:
+                            if len(unlike) >= UNLIKE:
+                                unlike.clear()
+                            unlike.add(pair)
+            if len(root) >= UNLIKE:
+                root.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        sets.close()
 
     return link
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, component_id) for each row of docs: near duplicates by 5-word shingles, about 0.8 alike or more.
+    """A row (doc_id, component_id) for each row of docs: near duplicates whose sets of 5-word shingles are 0.8 alike or more.
 
-    64 bits can't tell 0.8 from 0.6, and at the distance that 0.8 makes they take strangers for copies; so
-    fingerprints have WIDE bits here, of which WIDE_RADIUS may differ, and pairs meet under keys of sampled bits
-    (see bands). component_id is the smallest doc_id reached over such links. Documents without words are one group.
-    Null ids, repeated rows and empty tables as in near_duplicates.
+    Exact up to equal hashes: pairs meet under a shingle that both have in their prefix, and a link is the similarity
+    of the two sets. Sets lie in files of the shared folder, which workers read. component_id is the smallest doc_id
+    reached over links. Documents without words are one group. Null ids, repeated rows and empty tables as in near_duplicates.
     """
     spark = docs.sparkSession
-    each = Table(columns_or_null(docs, doc_id="bigint", text="string").mapInArrow(_wide, "doc_id bigint, fp binary"), "wide").df
-    fps = Table(each.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "nodes").df
-    which = bands(fps.count())
-    worded = fps.where(F.col("fp") != F.lit(bytes(WIDE // 8))).select("node", "fp")
-    rows = segments(worded.mapInArrow(_keys(which), "key bigint, node bigint, fp binary"), "node")
+    folder = posix(new_path(spark, "sets"))
+    each = Table(columns_or_null(docs, doc_id="bigint", text="string").mapInArrow(_write_sets(folder), "doc_id bigint, digest binary, node bigint"), "wide").df
+    fps = Table(each.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("node").alias("node")), "nodes").df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    linked = rows.select("key", "seg", "node", "fp").repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_wide_links(which), "a bigint, b bigint")
-    named = fps.join(components(linked), "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
-    label = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
-    return each.join(label, "fp").select("doc_id", "component_id")
+    # nodes are few bytes for sets of many: dealt out anew, else one task would read all sets
+    some = fps.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, fps.count() // SAMPLE))) == 0)
+    counted = some.select("node").repartition(n, "node").mapInArrow(_all_shingles(folder), "key bigint").groupBy("key").count().where("count > 2").toArrow()
+    common, often = counted["key"].to_numpy().view(np.uint64), counted["count"].to_numpy()
+    order = np.argsort(common)
+    rows = Table(fps.select("node").repartition(n, "node").mapInArrow(_prefixes(folder, common[order], often[order]), "key bigint, node bigint, common boolean"), "prefixes").df
+    # a key of HOT sets is common in the sample too
+    dealt = segments(rows.where("common").select("key", "node"), "node").unionByName(rows.where("not common").select("key", "node", F.lit(0).cast("bigint").alias("seg")))
+    linked = dealt.repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_alike_links(folder), "a bigint, b bigint")
+    named = fps.join(components(linked), "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
+    label = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("digest", "component_id")
+    return each.join(label, "digest").select("doc_id", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

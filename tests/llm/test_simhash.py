@@ -135,3 +135,49 @@ def test_bit_sliced_distances():
         i, j = simhash.near(x, simhash.planes(x), len(x), list(range(64)), radius)
         want = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
         assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want.tolist()))
+
+
+def plain_sets(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_similar(docs):
+    """The smallest name that each of (name, text) reaches over shingle sets 0.8 alike or more, all pairs compared."""
+    sets = [plain_sets(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    names = {}
+    for k, (name, _) in enumerate(docs):
+        names[find(k)] = min(names.get(find(k), name), name)
+    return {name: names[find(k)] for k, (name, _) in enumerate(docs)}
+
+
+def prose(rng, n):
+    return [f"w{rng.randrange(100_000)}" for _ in range(n)]
+
+
+def similar(spark, docs):
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_repeated_lines_do_not_outvote_prose(spark):
+    rng = random.Random(4)
+    line = prose(rng, 14)
+    docs = [(i, " ".join(prose(rng, 304) + line * 20)) for i in range(40)]
+    for i in range(20):  # and a copy of prose with another line five times: 0.95 alike as sets
+        text = prose(rng, 204)
+        docs += [(100 + i, " ".join(text)), (200 + i, " ".join(text + prose(rng, 10) * 5))]
+    want = plain_similar(docs)
+    assert all(want[i] == i for i in range(40)) and all(want[200 + i] == 100 + i for i in range(20))
+    assert similar(spark, docs) == want
