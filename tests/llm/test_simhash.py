@@ -181,3 +181,18 @@ def test_repeated_lines_do_not_outvote_prose(spark):
     want = plain_similar(docs)
     assert all(want[i] == i for i in range(40)) and all(want[200 + i] == 100 + i for i in range(20))
     assert similar(spark, docs) == want
+
+
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_every_pair_at_the_threshold(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(hot)
+    line, docs = prose(rng, 12), []
+    for i in range(120):  # of n shingles one side lacks just as many as 0.8 allows, or one more; half have the common line
+        text = prose(rng, rng.randint(40, 500)) + line * (i % 2)
+        n = len(plain_sets(" ".join(text)))
+        docs += [(i, " ".join(text)), (1000 + i, " ".join(text[: len(text) - n // 5])), (2000 + i, " ".join(text[n // 5 + 1 :]))]
+    docs += [(3000 + i, " ".join(line + prose(rng, 2))) for i in range(40)]
+    want = plain_similar(docs)
+    assert all(want[1000 + i] == i and want[2000 + i] == 2000 + i for i in range(120))
+    assert similar(spark, docs) == want
