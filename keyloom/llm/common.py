@@ -106,21 +106,23 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), longs: (node, component), the smallest node reachable.
 
-    Alternates large-star and small-star steps, each an aggregation (with map-side minima) and a join that
-    adaptive execution splits when a node is hot; no neighbour list is ever gathered. Every round is written
+    Alternates large-star and small-star steps, each an aggregation (with map-side minima), written down, and a join
+    with it that adaptive execution splits when a node is hot; no neighbour list is ever gathered. Every round is written
     to the shared folder. Nodes without links are absent.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     table, last = Table(e, "edges"), None
     while True:
         both = table.df.unionByName(table.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lows = Table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
+        large = both.join(lows.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         mid = Table(large, "edges")
-        low = mid.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = mid.df.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        lows.drop()
+        lows = Table(mid.df.groupBy("u").agg(F.min("v").alias("m")), "lows")
+        small = mid.df.join(lows.df, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = small.select("e.u", "e.v").where("u <> v").distinct()
         nxt = Table(small, "edges")
+        lows.drop()
         mid.drop()
         table.drop()
         table = nxt
@@ -157,10 +159,15 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.inline(made))
 
 
+def plainly(df: DataFrame, prefix: str = "c") -> DataFrame:
+    """df with columns named by number, so that no name of its own clashes; toDF(*df.columns) brings the names back."""
+    return df.toDF(*[f"{prefix}{i}" for i in range(len(df.columns))])
+
+
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:
     """Just the named columns, cast; one that is missing is null. Other columns, however named, are left behind."""
     have = {c: i for i, c in reversed(list(enumerate(df.columns)))}
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain = plainly(df)
     return plain.select(*[(F.col(f"c{have[c]}") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 

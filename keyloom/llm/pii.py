@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Table, columns_or_null
+from .common import Table, columns_or_null, plainly
 
 KINDS = ("email", "ip", "card", "phone")
 #: Of bootstrapping: rounds, a pattern's least confidence and different sure instances, an instance's least confidence.
@@ -185,28 +185,31 @@ def extract(docs: DataFrame) -> DataFrame:
     return found.join(extra, "row", "left").select("doc_id", "text_hash", "base", "base_sha256", spans.alias("spans"))
 
 
-def _replace(schema: list[str]) -> Callable:
+def _replace(at: int, schema: list[str]) -> Callable:
+    """The column `at` with its spans replaced; schema: all columns, without the last, the spans."""
+
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("pii_spans").to_pylist(), strict=True):
-                out, at = [], 0
+            for t, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                out, done = [], 0
                 for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= at:
-                        out += [t[at : s["start"]], f"[{s['kind'].removesuffix('_ctx').upper()}]"]
-                    at = max(at, s["end"])
-                texts.append("".join([*out, t[at:]]) if out else t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in schema], schema)
+                    if s["start"] >= done:
+                        out += [t[done : s["start"]], f"[{s['kind'].removesuffix('_ctx').upper()}]"]
+                    done = max(done, s["end"])
+                texts.append("".join([*out, t[done:]]) if out else t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(schema))], schema)
 
     return replace
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in `text` replaced by its kind in brackets; all columns and rows stay."""
+    """docs with every span in `text` replaced by its kind in brackets; all columns and rows stay, whatever the columns are named."""
     spans = extract(docs).select(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"), F.col("spans").alias("pii_spans")).where(F.size("pii_spans") > 0).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("pii_id")) & (F.xxhash64("text") == F.col("pii_hash"))
-    both = docs.join(spans, match, "left").select(*docs.columns, "pii_spans")
-    return both.mapInArrow(_replace(docs.columns), docs.schema)
+    plain, at = plainly(docs), docs.columns.index("text")
+    doc_id, text = (F.col(plain.columns[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    both = plain.join(spans, doc_id.eqNullSafe(F.col("pii_id")) & (F.xxhash64(text) == F.col("pii_hash")), "left").select(*plain.columns, "pii_spans")
+    return both.mapInArrow(_replace(at, plain.columns), plain.schema).toDF(*docs.columns)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

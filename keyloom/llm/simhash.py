@@ -255,36 +255,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = Table(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps").df
     comp = components(links(fps.select("fp")))
     named = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = named.join(names, "component").select("fp", "component_id")
+    label = named.join(lowest(named), "component").select("fp", F.col("first").alias("component_id"))
     return each.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words to a shingle of similar documents; bits of their wide fingerprints, and how many differ at about 0.8.
-WIDTH, WIDE, WIDE_RADIUS = 5, 256, 44
-#: Documents whose shingles tell which are common: SAMPLE of them, about. Bits of a set's parity, as 64-bit words.
-SAMPLE, PARITY = 20_000, 16
-#: Pairs a task remembers as unlike.
-UNLIKE = 1 << 20
-
-
-def wide_majority(h: np.ndarray) -> bytes:
-    """WIDE bits from the shingles' hashes and mixes of them; ties go to the smallest hash, so few shingles give no fewer ones."""
-    if not len(h):
-        return bytes(WIDE // 8)
-    total = np.zeros(WIDE, np.int64)
-    mixes = np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def spread(x: np.ndarray) -> np.ndarray:
-        x = x[:, None] + mixes[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return bits_of(x ^ (x >> np.uint64(31)))
-
-    for at in range(0, len(h), 1 << 14):
-        total += spread(h[at : at + (1 << 14)]).sum(0, dtype=np.int64)
-    tie = spread(h.min(keepdims=True))[0] > 0
-    return np.packbits((2 * total > len(h)) | ((2 * total == len(h)) & tie), bitorder="little").tobytes()
+#: Words to a shingle of similar documents.
+WIDTH = 5
+#: Shingles are counted over all documents by BUCKETS of their hashes, which travel in pieces of BUCKETS / PIECES. Bits of a set's parity, as 64-bit words.
+BUCKETS, PIECES, PARITY = 1 << 20, 16, 16
+#: Pairs a task remembers as unlike. Bits of a place in a file of sets.
+UNLIKE, PLACE = 1 << 20, 36
 
 
 def alike(both: int, a: int, b: int) -> bool:
@@ -303,30 +283,61 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+SETS = "doc_id bigint, text_hash bigint, digest binary, node bigint, piece int, counts binary"
+
+
+def bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
+
+
 def _write_sets(folder: str) -> Callable:
-    """Each document's set goes to a file of its partition: size, parity, shingles. node: partition << 40 | place in words."""
+    """Each document's set goes to a file of the task's attempt: size, parity, shingles. node: attempt << PLACE | place in words.
+
+    So rows that an attempt returns name its own file, whatever other attempts write. After a row for each document comes one for each piece of the partition's shingle counts by bucket.
+    """
+
+    def rows(**columns: list) -> pa.RecordBatch:
+        n = max(len(c) for c in columns.values())
+        types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "digest": pa.binary(), "node": pa.int64(), "piece": pa.int32(), "counts": pa.binary()}
+        return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns.get(k, [None] * n), t) for k, t in types.items()], list(types))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        context = TaskContext.get()
-        part, own, at = context.partitionId(), f"{folder}/{context.taskAttemptId()}.tmp", 0
-        with open(own, "wb") as f:
+        own, at = TaskContext.get().taskAttemptId(), 0
+        seen = np.zeros(BUCKETS, np.int64)
+        with open(f"{folder}/{own}.bin", "wb") as f:
             for b in batches:
-                lower, digest, node = pc.ascii_lower(pc.fill_null(b.column("text"), "")), [], []
+                lower, digest, node, held, many = pc.ascii_lower(pc.fill_null(b.column("text"), "")), [], [], [], 0
                 for t in lower:
                     s = shingle_set(t.as_py())
                     f.write(np.concatenate([np.array([len(s)], np.uint64), parity(s), s]).tobytes())
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    node.append(part << 40 | at)
+                    node.append(own << PLACE | at)
                     at += 1 + PARITY + len(s)
+                    held.append(bucket(s))
+                    many += len(s)
+                    if many > BUCKETS:
+                        seen += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                        held, many = [], 0
+                if held:
+                    seen += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 f.flush()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "digest", "node"])
-        # an attempt's file takes the partition's name at once and whole; attempts read the same rows and write the same
-        os.replace(own, f"{folder}/{part}.bin")
+                yield rows(doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), digest=digest, node=node)
+        yield rows(piece=list(range(PIECES)), counts=[pa.compress(x.astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for x in np.split(seen, PIECES)])
 
     return write
 
 
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    size = BUCKETS // PIECES
+    for b in batches:
+        for piece, blob in zip(b.column("piece").to_pylist(), b.column("counts"), strict=True):
+            got = np.frombuffer(pa.decompress(blob.as_py(), 4 * size, codec="zstd", asbytes=True), np.uint32)
+            total[piece] = total.get(piece, 0) + got.astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
+
+
 class Sets:
     """Reads sets out of the files that tasks wrote, each by its node."""
 
@@ -334,12 +345,12 @@ class Sets:
         self.folder, self.files = folder, OrderedDict()
 
     def words(self, node: int, skip: int, n: int) -> np.ndarray:
-        part = node >> 40
+        part = node >> PLACE
         if part not in self.files:
             if len(self.files) >= 200:
                 os.close(self.files.popitem(last=False)[1])
             self.files[part] = os.open(f"{self.folder}/{part}.bin", os.O_RDONLY)
-        out, at, left = [], 8 * ((node & (1 << 40) - 1) + skip), 8 * n
+        out, at, left = [], 8 * ((node & (1 << PLACE) - 1) + skip), 8 * n
         while left:
             got = os.pread(self.files[part], left, at)
             if not got:
@@ -360,43 +371,27 @@ class Sets:
             os.close(fd)
 
 
-def _all_shingles(folder: str) -> Callable:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(folder)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                found = [sets.shingles(v, int(sets.head(v)[0])) for v in b.column("node").slice(at, 1000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
-        sets.close()
-
-    return read
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in one order for all sets, and whether each is common.
+def prefix(shingles: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order for all sets: by how often their bucket was seen, then by hash.
 
     Two sets 0.8 alike or more share one of these at least, whatever the order: n less 0.8 n, rounded up, and one.
-    The order has common shingles (ascending, seen `often`) last, so few sets meet under them.
+    The order has common shingles last, so few sets meet under them.
     """
     n = len(shingles)
-    seen = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        seen = np.where(common[at] == shingles, often[at], 0)
-    first = np.lexsort((shingles, seen))[: n - (4 * n + 4) // 5 + 1 if n else 0]
-    return shingles[first], seen[first] > 0
+    return shingles[np.argsort(seen[bucket(shingles)], kind="stable")[: n - (4 * n + 4) // 5 + 1 if n else 0]]
+
 
+def _prefixes(folder: str, seen: bytes) -> Callable:
+    """common: whether a key's bucket was seen over HOT times, as that of each key of so many sets is."""
 
-def _prefixes(folder: str, common: np.ndarray, often: np.ndarray) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(folder)
+        sets, often = Sets(folder), np.frombuffer(seen, np.float32)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 nodes = b.column("node").slice(at, 1000).to_numpy()
-                made = [prefix(sets.shingles(v, int(sets.head(v)[0])), common, often) for v in nodes.tolist()]
-                key, hot = (np.concatenate(x) for x in zip(*made, strict=True))
-                node = np.repeat(nodes, [len(k) for k, _ in made])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(hot)], ["key", "node", "common"])
+                made = [prefix(sets.shingles(v, int(sets.head(v)[0])), often) for v in nodes.tolist()]
+                key, node = np.concatenate(made), np.repeat(nodes, [len(k) for k in made])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(often[bucket(key)] > HOT)], ["key", "node", "common"])
         sets.close()
 
     return rows
@@ -454,29 +449,35 @@ def _alike_links(folder: str) -> Callable:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, component_id) for each row of docs: near duplicates whose sets of 5-word shingles are 0.8 alike or more.
+    """A row (doc_id, text_hash, component_id, kept) for each row of docs: near duplicates whose sets of 5-word shingles are 0.8 alike or more.
 
     Exact up to equal hashes: pairs meet under a shingle that both have in their prefix, and a link is the similarity
     of the two sets. Sets lie in files of the shared folder, which workers read. component_id is the smallest doc_id
-    reached over links. Documents without words are one group. Null ids, repeated rows and empty tables as in near_duplicates.
+    reached over links (null if no row there has one); kept marks the row of that id, of several the one with the smallest text_hash
+    (xxhash64 of the text), and all rows equal to it in both. Documents without words are one group. Empty tables give no rows.
     """
     spark = docs.sparkSession
     folder = posix(new_path(spark, "sets"))
-    each = Table(columns_or_null(docs, doc_id="bigint", text="string").mapInArrow(_write_sets(folder), "doc_id bigint, digest binary, node bigint"), "wide").df
-    fps = Table(each.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("node").alias("node")), "nodes").df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = columns_or_null(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64("text"))
+    made = Table(texts.mapInArrow(_write_sets(folder), SETS), "wide").df
+    each = made.where("node is not null").select("doc_id", "text_hash", "digest", "node")
+    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    nodes = Table(each.groupBy("digest").agg(F.min(me).alias("low"), F.min("node").alias("node")), "nodes").df
+    pieces = made.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_add_counts, "piece int, counts binary")
+    seen = b"".join(r.counts for r in sorted(pieces.collect())) or bytes(4 * BUCKETS)
     # nodes are few bytes for sets of many: dealt out anew, else one task would read all sets
-    some = fps.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, fps.count() // SAMPLE))) == 0)
-    counted = some.select("node").repartition(n, "node").mapInArrow(_all_shingles(folder), "key bigint").groupBy("key").count().where("count > 2").toArrow()
-    common, often = counted["key"].to_numpy().view(np.uint64), counted["count"].to_numpy()
-    order = np.argsort(common)
-    rows = Table(fps.select("node").repartition(n, "node").mapInArrow(_prefixes(folder, common[order], often[order]), "key bigint, node bigint, common boolean"), "prefixes").df
-    # a key of HOT sets is common in the sample too
+    rows = Table(nodes.select("node").repartition(n, "node").mapInArrow(_prefixes(folder, seen), "key bigint, node bigint, common boolean"), "prefixes").df
     dealt = segments(rows.where("common").select("key", "node"), "node").unionByName(rows.where("not common").select("key", "node", F.lit(0).cast("bigint").alias("seg")))
     linked = dealt.repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_alike_links(folder), "a bigint, b bigint")
-    named = fps.join(components(linked), "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
-    label = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("digest", "component_id")
-    return each.join(label, "digest").select("doc_id", "component_id")
+    named = nodes.join(components(linked), "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
+    label = named.join(lowest(named), "component").select("digest", "first")
+    return each.join(label, "digest").select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), (me == F.col("first")).alias("kept"))
+
+
+def lowest(named: DataFrame) -> DataFrame:
+    """(component, first): the least `low` of each. A table of its own, so that the join back to a large component's members can be split."""
+    return Table(named.groupBy("component").agg(F.min("low").alias("first")), "names").df
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
