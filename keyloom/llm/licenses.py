@@ -60,10 +60,14 @@ TEMPLATES = (
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: What lower() may change besides A-Z lies among capitals, title letters, number letters and symbols.
+OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
+
+
 def lower_ascii(text: Column) -> Column:
-    """A-Z alone in lower case; lower() is the same, and quicker, unless a letter outside ASCII has one inside it."""
+    """A-Z alone in lower case; lower() is the same, and quicker, where no other character has a lower case."""
     a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(text.rlike("[Kİ]"), F.translate(text, a_z, a_z.lower())).otherwise(F.lower(text))
+    return F.when(text.rlike(OTHER_CAPITALS), F.translate(text, a_z, a_z.lower())).otherwise(F.lower(text))
 
 
 def _at(word: str) -> Column:

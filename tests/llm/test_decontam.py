@@ -17,7 +17,11 @@ def grams(w, k):
 
 
 def plain(docs, items):
-    best = {}
+    """The first best window of each document and item, among those that start at a shingle of an item of that length, and the last."""
+    best, of_length = {}, {}
+    for _, item in items:
+        v = words(item)
+        of_length.setdefault(len(v), set()).update(grams(v, min(5, len(v))))
     for d, text in docs:
         w = words(text)
         for i, item in items:
@@ -29,24 +33,26 @@ def plain(docs, items):
             if not want.keys() & grams(w, k).keys():
                 continue
             for s in range(max(1, len(w) - len(v) + 1)):
+                if tuple(w[s : s + k]) not in of_length[len(v)] and s < len(w) - len(v):
+                    continue
                 got = grams(w[s : s + len(v)], k)
                 sim = round(sum((got & want).values()) / sum((got | want).values()), 9)
                 if sim >= 0.8 and (d, i) not in best or sim > best.get((d, i), (9, 9))[1]:
                     best[d, i] = (s, sim)
-    return {(d, i): sim for (d, i), (_, sim) in best.items()}
+    return best
 
 
 def got(spark, docs, items):
     a = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
-    return {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(a, b).collect()}
+    return {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontam.contaminated(a, b).collect()}
 
 
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    found = {(r.doc_id, r.item_id): r.similarity for r in decontam.op7_decontaminate(spark, sf).collect()}
+    found = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontam.op7_decontaminate(spark, sf).collect()}
     assert found == plain(docs, items) and found
 
 
@@ -76,5 +82,25 @@ def test_edits(spark):
     assert got(spark, docs, items) == want and len(want) > 20
 
 
+def test_capitals_outside_ascii(spark):
+    item = "café été noël où garçon naïf crème déjà"
+    docs = [(1, item), (2, item.upper()), (3, item.upper() + " \u212a"), (4, "CAFé éTé NOëL Où GARçON NAïF CRèME DéJà"), (5, "\u0130 " + item), (6, "Ⅷ " + item.upper())]
+    assert got(spark, docs, [(1, item)]) == plain(docs, [(1, item)]) == {(1, 1): (0, 1.0), (4, 1): (0, 1.0), (5, 1): (1, 1.0)}
+
+
+def test_long_document_of_copies(spark):
+    """An item three hundred times in one text, items that share most of their shingles, and joins by shuffle."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(40)]
+    items = [(i, " ".join([*base[: i], "x", *base[i + 1 :]])) for i in range(12)]
+    docs = [(1, " ".join((base + ["so"]) * 300)), (2, " ".join(base[:30])), (3, " ".join(base[:36])), (4, " ".join(base[::-1]))]
+    assert got(spark, docs, items) == plain(docs, items)
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST", 0)
+    test_long_document_of_copies(spark)
+
+
 def test_empty(spark):
     assert got(spark, [], [(1, "a b c d e f")]) == {} and got(spark, [(1, "a b c d e f")], []) == {}
