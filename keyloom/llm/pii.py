@@ -1,16 +1,17 @@
 """Personal data (operator 1): bootstrapped contextual extraction.
 
-Spans of four exact kinds are the seeds. Each seed, and each other identifier-like run with some digits, leaves its
-instance and the lexical patterns around it: the words before and after it with its shape. Over the graph of
-patterns and instances Spark scores in turns: a pattern by the mean confidence of its instances, an instance by the
-patterns it has. Patterns of high confidence and enough support pass their kind on to instances that no rule
-finds, whose spans are added as `<kind>_ctx`; the seeds' spans stay as they are.
+Spans of four exact kinds are the seeds. The candidates are all other tokens that aren't plain words. Each seed and each
+candidate leaves its instance and the lexical patterns around it: the two words before, the two after, the one on either
+side. Over the graph of patterns and instances Spark scores in turns: a pattern by the mean confidence of all instances that it
+surrounds, an instance by the patterns it has, and by its shape as a weaker feature. Patterns of high confidence and enough support
+pass their kind on to candidates of any shape, whose spans are added as `<kind>_ctx`; the seeds' spans stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,8 +25,10 @@ from .common import Table, columns_or_null, plainly
 KINDS = ("email", "ip", "card", "phone")
 #: Of bootstrapping: rounds, a pattern's least confidence and different sure instances, an instance's least confidence.
 ROUNDS, LEAST_PATTERN, LEAST_SUPPORT, LEAST_INSTANCE = 3, 0.8, 3, 0.9
-#: Digits that make a run identifier-like, and how long its text and its context words count at most.
-LEAST_DIGITS, LONG_RUN, LONG_WORD = 4, 200, 40
+#: What a shape's score weighs beside those of lexical patterns.
+SHAPE_WEIGHT = 0.3
+#: Punctuation that belongs to neither a candidate nor a context word at its ends, and marks that plain words hold.
+ENDS, INNER = ".,;:!?\"'`´‘’“”«»[]{}<>|", str.maketrans("", "", "'’-")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,7 +36,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-RUN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9@._+/-]*[A-Za-z0-9])?")
+TOKEN = re.compile(r"\S+")
 SHAPE = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|.", re.S)
 
 
@@ -82,50 +85,82 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def shape(run: str) -> str:
     """Runs of digits (9, from eight on N), capitals and small letters as one sign each, other characters as they are."""
     out = []
-    for m in SHAPE.finditer(run[:LONG_RUN]):
+    for m in SHAPE.finditer(run):
         c = m[0][0]
         out.append(c if not (c.isalnum() and c.isascii()) else "9N"[len(m[0]) >= 8] if c.isdigit() else "A" if c.isupper() else "a")
     return "".join(out)
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts of a span: two words before, two after, one on either side, each with the span's shape."""
-    s = shape(text[start:end])
-    before = text[max(0, start - 4 * LONG_WORD) : start].lower().split()
-    after = text[end : end + 4 * LONG_WORD].lower().split()
-    before, after = [w[-LONG_WORD:] for w in before[-2:]], [w[:LONG_WORD] for w in after[:2]]
-    out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _|{s}")
-    if len(after) == 2:
-        out.append(f"_ {after[0]} {after[1]}|{s}")
+def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of what isn't a plain word and touches no base span: one token, or some in a row with digits in each.
+
+    Punctuation at a token's ends is left out; it ends a row, as a word does.
+    """
+    spans, k = sorted((a, b) for _, a, b in taken), 0
+    row: tuple[int, int] | None = None
+    for a, b in tokens:
+        while k < len(spans) and spans[k][1] <= a:
+            k += 1
+        token = text[a:b]
+        if token.isalpha() or k < len(spans) and spans[k][0] < b:
+            plain = True
+        else:
+            core = token.strip(ENDS)
+            plain = not core or core.translate(INNER).isalpha() or not any(map(str.isalnum, core))
+        if plain:
+            if row:
+                yield row
+            row = None
+            continue
+        start = a + token.index(core)
+        end, digits = start + len(core), DIGITS.search(core) is not None
+        if row and (start > a or not digits):
+            yield row
+            row = None
+        row = (row[0] if row else start, end)
+        if end < b or not digits:
+            yield row
+            row = None
+    if row:
+        yield row
+
+
+def patterns(text: str, tokens: list[tuple[int, int]], starts: list[int], start: int, end: int) -> list[int]:
+    """Hashes of a span's lexical contexts: two words before, two after, one on either side; lower case, without punctuation at the ends."""
+    before, after = [], []
+    at = bisect_left(starts, start)
+    for k in range(at - 1, max(-1, at - 4), -1):  # the first may be the rest of the span's own token
+        if w := text[tokens[k][0] : min(tokens[k][1], start)].strip(ENDS).lower():
+            before.append(w)
+    at = max(0, bisect_left(starts, end) - 1)
+    for k in range(at, min(len(tokens), at + 4)):
+        if w := text[max(tokens[k][0], end) : tokens[k][1]].strip(ENDS).lower():
+            after.append(w)
+    found = []
+    if len(before) > 1:
+        found.append(f"{before[1]} {before[0]} _")
+    if len(after) > 1:
+        found.append(f"_ {after[0]} {after[1]}")
     if before and after:
-        out.append(f"{before[-1]} _ {after[0]}|{s}")
-    return out
+        found.append(f"{before[0]} _ {after[0]}")
+    return [hashed(p) for p in found]
 
 
-def others(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like runs that touch no base span."""
-    spans, k = sorted((a, b) for _, a, b in taken), 0
-    for m in RUN.finditer(text):
-        if m.end() - m.start() >= LEAST_DIGITS and len(DIGITS.findall(m[0])) >= LEAST_DIGITS:
-            while k < len(spans) and spans[k][1] <= m.start():
-                k += 1
-            if k == len(spans) or spans[k][0] >= m.end():
-                yield m.span()
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SEEN = "array<struct<kind:string,start:int,end:int,instance:bigint,patterns:array<string>>>"
+SEEN = "array<struct<kind:string,start:int,end:int,instance:bigint,shape:bigint,patterns:array<bigint>>>"
 FOUND = "doc_id bigint, text_hash bigint, base array<struct<kind:string,start:int,end:int>>, base_sha256 string, seen " + SEEN
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    seen_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+    seen_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("shape", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
     for b in batches:
         base, digest, seen = [], [], []
         for t in b.column("text"):
@@ -133,10 +168,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
             digest.append(hashlib.sha256(joined(spans).encode()).hexdigest())
-            every = spans + [(None, a, z) for a, z in others(text, spans)] if DIGITS.search(text) else spans
+            tokens = [m.span() for m in TOKEN.finditer(text)]
+            starts = [a for a, _ in tokens]
+            every = spans + [(None, a, z) for a, z in candidates(text, tokens, spans)]
             seen.append(
                 [
-                    {"kind": k, "start": a, "end": z, "instance": xxhash.xxh64_intdigest(text[a:z].lower().encode("utf-8", "surrogatepass")) - (1 << 63), "patterns": patterns(text, a, z)}
+                    {"kind": k, "start": a, "end": z, "instance": hashed(text[a:z].lower()), "shape": hashed(shape(text[a:z])), "patterns": patterns(text, tokens, starts, a, z)}
                     for k, a, z in every
                 ]
             )
@@ -146,24 +183,34 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bootstrap(seen: DataFrame) -> DataFrame:
-    """(instance, kind): what the pattern graph finds besides the seeds.
+    """(instance, pattern, kind): what the pattern graph finds besides the seeds, and the sure patterns that find it.
 
-    seen: (instance, kind or null, pattern). Pattern scores are means over different instances, so copies of a
-    text weigh nothing; all steps aggregate before they shuffle.
+    seen: (instance, kind or null, shape, pattern or null). An instance's trust is 1 for a seed's kind; else it is a noisy or over its sure
+    patterns of a kind, 1 - product of (1 - score), with SHAPE_WEIGHT * its shape's score as one more factor. A pattern's score is the mean
+    trust over all different instances it surrounds, a shape's likewise; so copies of a text weigh nothing. Patterns with fewer
+    instances than LEAST_SUPPORT can't be sure and are left out. All steps aggregate before they shuffle.
     """
-    edges = Table(seen.where("pattern is not null").select("pattern", "instance").distinct(), "edges").df
+    pairs = Table(seen.where("pattern is not null").select("pattern", "instance").distinct(), "pairs").df
+    total = Table(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT), "patterns").df
+    edges = Table(pairs.join(total.select("pattern"), "pattern", "left_semi"), "edges").df
     seeds = Table(seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("trust", F.lit(1.0)), "seeds").df
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    shapes = Table(seen.groupBy("instance").agg(F.min("shape").alias("shape")), "shapes").df
+    of_shape = Table(shapes.groupBy("shape").agg(F.count("*").alias("n")), "shape_sizes").df
     known = seeds
     for _ in range(ROUNDS):
         scored = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"), F.count_if(F.col("trust") >= LEAST_INSTANCE).alias("support"))
         scored = scored.where(F.col("support") >= LEAST_SUPPORT).join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score")).where(F.col("score") >= LEAST_PATTERN)
         doubt = F.sum(F.log(1 - F.least("score", F.lit(0.99))))
-        rated = edges.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("trust"))
-        new = rated.join(seeds.select("instance"), "instance", "left_anti")
-        best = new.groupBy("instance").agg(F.max_by(F.struct("kind", "trust"), F.struct("trust", "kind")).alias("b")).select("instance", "b.kind", "b.trust")
+        sure = Table(scored, "scored").df
+        rated = edges.join(sure, "pattern").groupBy("instance", "kind").agg(doubt.alias("doubt"))
+        new = Table(rated.join(seeds.select("instance"), "instance", "left_anti"), "rated").df
+        by_shape = shapes.join(known, "instance").groupBy("shape", "kind").agg(F.sum("trust").alias("mass")).join(of_shape, "shape").select("shape", "kind", (F.col("mass") / F.col("n")).alias("like"))
+        both = new.join(shapes, "instance").join(by_shape, ["shape", "kind"], "left")
+        trust = 1 - F.exp(F.col("doubt")) * (1 - SHAPE_WEIGHT * F.least(F.coalesce("like", F.lit(0.0)), F.lit(1.0)))
+        best = both.select("instance", "kind", trust.alias("trust")).groupBy("instance").agg(F.max_by(F.struct("kind", "trust"), F.struct("trust", "kind")).alias("b")).select("instance", "b.kind", "b.trust")
         known = Table(seeds.unionByName(best), "known").df
-    return known.where(F.col("trust") >= LEAST_INSTANCE).join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind")
+    found = known.where(F.col("trust") >= LEAST_INSTANCE).join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind")
+    return edges.join(found, "instance").join(sure.select("pattern", "kind"), ["pattern", "kind"]).select("instance", "pattern", "kind")
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -176,8 +223,10 @@ def extract(docs: DataFrame) -> DataFrame:
     rows = columns_or_null(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64("text"))
     found = Table(rows.mapInArrow(_find, FOUND).withColumn("row", F.monotonically_increasing_id()), "pii").df
     seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    more = bootstrap(seen.select("kind", "instance", F.explode_outer("patterns").alias("pattern")))
-    added = seen.where("kind is null").drop("kind").join(more, "instance").select("row", F.struct(F.concat("kind", F.lit("_ctx")).alias("kind"), "start", "end").alias("span"))
+    more = bootstrap(seen.select("kind", "instance", "shape", F.explode_outer("patterns").alias("pattern")))
+    # an instance counts where a sure pattern surrounds it, not wherever else its text stands
+    slots = seen.where("kind is null").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    added = slots.join(more, ["instance", "pattern"]).select("row", F.struct(F.concat("kind", F.lit("_ctx")).alias("kind"), "start", "end").alias("span"))
     order = F.array(*[F.lit(f"{k}_ctx") for k in KINDS])
     extra = added.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.array_position(order, "span.kind").alias("rank"), "span.start", "span.end", "span.kind"))).alias("extra"))
     plain = F.transform("extra", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

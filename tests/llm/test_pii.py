@@ -65,6 +65,80 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[3] == [[("ip", 22, 30)]]
 
 
+def found(spark, texts):
+    rows = pii.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if s.kind.endswith("_ctx")] for r in rows if any(s.kind.endswith("_ctx") for s in r.spans)}
+
+
+def test_other_shapes_are_found(spark):
+    """Of each kind, contexts of thirty seeds find what no rule does, whatever its shape, behind any white space and words of any length."""
+    long = "x" * 300
+    texts = [f"please call me at +1 (603) 555-87{k:02d} today my friend" for k in range(30)]
+    texts += [f"write to user{k}@mail.com" for k in range(30)]
+    texts += [f"{long} paid by card 4111 1111 1111 {k} as agreed" for k in ("1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194")]
+    n = len(texts)
+    texts += ["call me at 603.555.8791 today my friend", "he will write to john(at)mail.com", "do write \n\n" + " " * 500 + " to @john_smith.", f"and {long} paid by card 4111-1111 of 2020 as agreed", "call me at noon today my friend", "write to 12 people"]
+    texts += ["the number 603.555.8791 stands alone here", "call me at (603) 555 8791 today my friend"]
+    got = found(spark, texts)
+    assert got[n] == [("phone_ctx", "603.555.8791")] and got[n + 1] == [("email_ctx", "john(at)mail.com")] and got[n + 2] == [("email_ctx", "@john_smith")]
+    assert got[n + 7] == [("phone_ctx", "(603) 555 8791")] and not set(got) & {*range(n), n + 4, n + 6}
+
+
+def test_doubtful_patterns_find_nothing(spark):
+    texts = [f"reach us at 10.0.{k}.{k} or so" for k in range(10)] + [f"reach us at {k}:30 or so" for k in range(10)]
+    assert found(spark, texts) == {}
+
+
+def plain_bootstrap(seen):
+    """The scored graph with dictionaries."""
+    pairs = {(p, i) for i, _, _, ps in seen for p in ps}
+    around = {}
+    for p, i in pairs:
+        around.setdefault(p, set()).add(i)
+    seeds = {}
+    for i, kind, _, _ in seen:
+        if kind:
+            seeds[i] = min(kind, seeds.get(i, kind))
+    shape = {}
+    for i, _, s, _ in seen:
+        shape[i] = min(s, shape.get(i, s))
+    known = {i: (k, 1.0) for i, k in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for p, members in around.items():
+            for kind in pii.KINDS:
+                trust = [known[i][1] for i in members if i in known and known[i][0] == kind]
+                if sum(t >= pii.LEAST_INSTANCE for t in trust) >= pii.LEAST_SUPPORT and sum(trust) / len(members) >= pii.LEAST_PATTERN:
+                    sure[p, kind] = sum(trust) / len(members)
+        best = {}
+        for i in shape:
+            for kind in pii.KINDS:
+                left = 1.0
+                for (p, k), v in sure.items():
+                    if k == kind and i in around[p]:
+                        left *= 1 - min(v, 0.99)
+                if left < 1 and i not in seeds:
+                    like = [known[j][1] for j in shape if shape[j] == shape[i] and j in known and known[j][0] == kind]
+                    trust = 1 - left * (1 - pii.SHAPE_WEIGHT * min(1.0, sum(like) / sum(s == shape[i] for s in shape.values())))
+                    best[i] = max(best.get(i, (0.0, "")), (trust, kind))
+        known = {i: (k, 1.0) for i, k in seeds.items()} | {i: (k, t) for i, (t, k) in best.items()}
+    return {(i, p, k) for i, (k, t) in known.items() if t >= pii.LEAST_INSTANCE and i not in seeds for p, kind in sure if kind == k and i in around[p]}
+
+
+def test_graph_against_dictionaries(spark):
+    rng = random.Random(6)
+    seen = []
+    for i in range(160):
+        kind = rng.choice(pii.KINDS) if i < 145 else None
+        group = pii.KINDS.index(kind) if kind else rng.randrange(4)
+        ps = rng.sample(range(6 * group, 6 * group + 6), rng.randint(0, 3)) if rng.random() < 0.95 else [rng.randrange(24)]
+        seen.append((i, kind, rng.randrange(5), ps))
+    flat = [(i, k, s, p) for i, k, s, ps in seen for p in ps or [None]]
+    want = plain_bootstrap(seen)
+    pii_rows = pii.bootstrap(spark.createDataFrame(flat, "instance long, kind string, shape long, pattern long")).collect()
+    assert {(r.instance, r.pattern, r.kind) for r in pii_rows} == want and want
+
+
 def test_redact_keeps_rows(spark):
     rows = [(1, "mail a@b.co now", 7), (1, "mail a@b.co now", 7), (2, None, 1), (None, "1.2.3.4", 2)]
     out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, seen int"))
