@@ -25,6 +25,8 @@ from .common import Table, columns_or_null, plainly
 KINDS = ("email", "ip", "card", "phone")
 #: Of bootstrapping: rounds, a pattern's least confidence and different sure instances, an instance's least confidence.
 ROUNDS, LEAST_PATTERN, LEAST_SUPPORT, LEAST_INSTANCE = 3, 0.8, 3, 0.9
+#: Found instances with their patterns that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: What a shape's score weighs beside those of lexical patterns.
 SHAPE_WEIGHT = 0.3
 #: Punctuation that belongs to neither a candidate nor a context word at its ends, and marks that plain words hold.
@@ -190,9 +192,10 @@ def bootstrap(seen: DataFrame) -> DataFrame:
     trust over all different instances it surrounds, a shape's likewise; so copies of a text weigh nothing. Patterns with fewer
     instances than LEAST_SUPPORT can't be sure and are left out. All steps aggregate before they shuffle.
     """
-    pairs = Table(seen.where("pattern is not null").select("pattern", "instance").distinct(), "pairs").df
-    total = Table(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT), "patterns").df
-    edges = Table(pairs.join(total.select("pattern"), "pattern", "left_semi"), "edges").df
+    pairs = Table(seen.where("pattern is not null").select("pattern", "instance").distinct(), "pairs")
+    total = Table(pairs.df.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT), "patterns").df
+    edges = Table(pairs.df.join(total.select("pattern"), "pattern", "left_semi"), "edges").df
+    pairs.drop()
     seeds = Table(seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("trust", F.lit(1.0)), "seeds").df
     shapes = Table(seen.groupBy("instance").agg(F.min("shape").alias("shape")), "shapes").df
     of_shape = Table(shapes.groupBy("shape").agg(F.count("*").alias("n")), "shape_sizes").df
@@ -223,7 +226,8 @@ def extract(docs: DataFrame) -> DataFrame:
     rows = columns_or_null(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64("text"))
     found = Table(rows.mapInArrow(_find, FOUND).withColumn("row", F.monotonically_increasing_id()), "pii").df
     seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    more = bootstrap(seen.select("kind", "instance", "shape", F.explode_outer("patterns").alias("pattern")))
+    more = Table(bootstrap(seen.select("kind", "instance", "shape", F.explode_outer("patterns").alias("pattern"))), "more").df
+    more = F.broadcast(more) if more.count() <= BROADCAST else more
     # an instance counts where a sure pattern surrounds it, not wherever else its text stands
     slots = seen.where("kind is null").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     added = slots.join(more, ["instance", "pattern"]).select("row", F.struct(F.concat("kind", F.lit("_ctx")).alias("kind"), "start", "end").alias("span"))
