@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Table, columns_or_null, components, new_path, posix, spanning
+from .common import Table, columns_or_null, components, drop_path, new_path, posix, spanning
 
 RADIUS = 4
 #: Bits of the 6 blocks; any 2 of them make a key of 21 or 22 bits.
@@ -457,7 +457,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     (xxhash64 of the text), and all rows equal to it in both. Documents without words are one group. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    folder = posix(new_path(spark, "sets"))
+    folder_url = new_path(spark, "sets")
+    folder = posix(folder_url)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = columns_or_null(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64("text"))
     made = Table(texts.mapInArrow(_write_sets(folder), SETS), "wide").df
@@ -467,10 +468,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     pieces = made.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_add_counts, "piece int, counts binary")
     seen = b"".join(r.counts for r in sorted(pieces.collect())) or bytes(4 * BUCKETS)
     # nodes are few bytes for sets of many: dealt out anew, else one task would read all sets
-    rows = Table(nodes.select("node").repartition(n, "node").mapInArrow(_prefixes(folder, seen), "key bigint, node bigint, common boolean"), "prefixes").df
+    prefixes = Table(nodes.select("node").repartition(n, "node").mapInArrow(_prefixes(folder, seen), "key bigint, node bigint, common boolean"), "prefixes")
+    rows = prefixes.df
     dealt = segments(rows.where("common").select("key", "node"), "node").unionByName(rows.where("not common").select("key", "node", F.lit(0).cast("bigint").alias("seg")))
     linked = dealt.repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_alike_links(folder), "a bigint, b bigint")
-    named = nodes.join(components(linked), "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
+    found = components(linked)  # a table by now: sets and prefixes have been read
+    prefixes.drop()
+    drop_path(spark, folder_url)
+    named = nodes.join(found, "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
     label = named.join(lowest(named), "component").select("digest", "first")
     return each.join(label, "digest").select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), (me == F.col("first")).alias("kept"))
 
