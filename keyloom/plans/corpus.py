@@ -168,9 +168,9 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[(v.cast("bigint") if k.endswith("length") else v).alias(k) for k, v in out.items()])
 
 
-#: Arrays to assemble: the lengths of a document's first words, and its turn of small numbers.
+#: Arrays to assemble: the lengths of a document's words, and its turn of small numbers.
 ARRAYS = """
-arrays as (select doc_id, list_transform(list_slice(string_split(text, ' '), 1, 1 + doc_id % 9), lambda w: length(w)) as condition,
+arrays as (select doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) as condition,
   list_transform(range(1, 3 + doc_id % 6), lambda x: x * doc_id) as target from documents)
 """
 
@@ -178,7 +178,7 @@ arrays as (select doc_id, list_transform(list_slice(string_split(text, ' '), 1,
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.expr("transform(slice(split(text, ' '), 1, cast(1 + doc_id % 9 as int)), w -> cast(length(w) as bigint))").alias("condition"),
+        F.expr("transform(split(text, ' '), w -> cast(length(w) as bigint))").alias("condition"),
         F.expr("transform(sequence(1L, 2 + doc_id % 6), x -> x * doc_id)").alias("target"),
     )
 
@@ -211,12 +211,13 @@ def left_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {ARRAYS} select reason, count(*) as n from (select case when len(condition) <> len(condition) - (doc_id % 13 = 0)::int then 'mask length'
-  when len(condition) <> len(target) then 'label length' when doc_id % 4 = 3 then 'grid shape' when (doc_id % 8) * 16 // 4 <> 16 then 'media tokens' end as reason from arrays) group by 1""")
+  when doc_id % 5 = 0 and len(condition) <> len(target) then 'label length' when doc_id % 4 = 3 then 'grid shape' when (doc_id % 8) * 16 // 4 <> 16 then 'media tokens' end as reason from arrays) group by 1""")
 def shape_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = arrays(spark, sf_dir)
     mask = F.when(F.col("doc_id") % 13 == 0, F.slice("condition", F.lit(1), F.greatest(F.lit(0), F.size("condition") - 1))).otherwise(F.col("condition"))
     grid = F.when(F.col("doc_id") % 4 == 3, F.array(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).otherwise(F.array(F.col("doc_id") % 8, F.lit(4).cast("bigint"), F.lit(4).cast("bigint")))
-    reason = assembly.shape_reason(F.col("condition"), mask, F.col("target"), grid, F.lit(16))
+    label = F.when(F.col("doc_id") % 5 == 0, F.col("target")).otherwise(F.col("condition"))
+    reason = assembly.shape_reason(F.col("condition"), mask, label, grid, F.lit(16))
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 

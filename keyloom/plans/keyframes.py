@@ -42,14 +42,14 @@ def value_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyframes.value_at(segments, asked, "prop", "t").select("prop", "t", F.round("value", 6).alias("value"))
 
 
-@query(f"""with {KFS}, k as (select prop, t, arg_min(value, seq) as start from kfs where prop < 40 group by 1, 2), docs as (select prop, prop // 4 as doc from (select distinct prop from k)),
+@query(f"""with {KFS}, k as (select prop, t, arg_min(value, seq) as start from kfs group by 1, 2), docs as (select prop, prop // 4 as doc from (select distinct prop from k)),
 segments as (select prop, t, start, lead(start) over w as stop, lead(t) over w as next, min(t) over (partition by prop) as first_t from k window w as (partition by prop order by t)),
 asked as (select d.prop, x.t from docs d join (select distinct prop // 4 as doc, t from k) x using (doc)),
 v as (select a.prop, a.t, case when s.prop is null then f.start when s.stop is null then s.start else s.start * (1 - (a.t - s.t) / (s.next - s.t)::double) + s.stop * ((a.t - s.t) / (s.next - s.t)::double) end as start
 from asked a left join segments s on s.prop = a.prop and s.t <= a.t and (s.next is null or a.t < s.next) left join segments f on f.prop = a.prop and f.t = f.first_t)
 select prop, t, round(start, 6) as start, round(lead(start) over (partition by prop order by t), 6) as "end" from v""")
 def union_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = keyframes.merge(kfs(spark, sf_dir).where("prop < 40"), "prop", "t", "value", "seq").withColumn("doc", F.floor(F.col("prop") / 4))
+    segments = keyframes.merge(kfs(spark, sf_dir), "prop", "t", "value", "seq").withColumn("doc", F.floor(F.col("prop") / 4))
     out = keyframes.union_resample(segments, "doc", "prop", "t")
     return out.select("prop", "t", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
@@ -116,9 +116,9 @@ def gradient_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typeset.inherit_stops(gradients, stops).select("id", F.size("stops").alias("n_stops"))
 
 
-@query("select c_custkey as doc_id, cast(count(*) as bigint) as n, cast(sum((pos >= k)::int) as bigint) as padded from (select c_custkey, c_custkey % 5 as k, unnest(range(0, 4)) as pos from customer where c_custkey % 5 > 0) group by 1")
+@query("select c_custkey as doc_id, cast(count(*) as bigint) as n, cast(sum((pos >= k)::int) as bigint) as padded from (select c_custkey, 1 + c_custkey % 5 as k, unnest(range(0, 4)) as pos from customer) group by 1")
 def pad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 > 0")
-    rows = c.select(F.col("c_custkey").alias("doc_id"), F.explode(F.expr("sequence(0, cast(c_custkey % 5 as int) - 1)")).alias("pos")).select("doc_id", "pos", F.lit(3).alias("idx"), F.array(F.lit(1.0)).alias("params"))
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_custkey").alias("doc_id"), F.explode(F.expr("sequence(0, cast(c_custkey % 5 as int))")).alias("pos")).select("doc_id", "pos", F.lit(3).alias("idx"), F.array(F.lit(1.0)).alias("params"))
     out = typeset.pad_rows(rows, 4, 6).where(F.size("params") == 6)
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("idx") == typeset.PAD_COMMAND).alias("padded"))

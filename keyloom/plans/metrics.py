@@ -108,9 +108,9 @@ def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.parent_of(layers).select("doc_id", "ind", "parent", "parent_pos", "kept_parent")
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, p_name as asset from lineitem left join (select p_partkey, min(p_name) as p_name from part group by 1) on p_partkey = l_partkey where l_linenumber = 1""")
+@query("""select l_orderkey, l_linenumber, l_partkey, p_name as asset from lineitem left join (select p_partkey, min(p_name) as p_name from part group by 1) on p_partkey = l_partkey""")
 def asset_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layers = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    layers = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     assets = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return graph.asset_of(layers, assets, "l_partkey", "p_partkey", "p_name", "asset").select("l_orderkey", "l_linenumber", "l_partkey", "asset")
 
@@ -120,25 +120,25 @@ def matte_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.matte_source(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderkey", F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey", "matte")
 
 
-@query("""with recursive l as (select o_custkey as doc, o_orderkey as ind, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent, cast(round(o_totalprice) as bigint) % 7 as dx from orders where o_custkey % 50 = 1),
+@query("""with recursive l as (select o_custkey as doc, o_orderkey as ind, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent, cast(round(o_totalprice) as bigint) % 7 as dx from orders),
 c as (select doc, ind, ind as node, parent, dx, 1 as depth from l union all select c.doc, c.ind, l.ind, l.parent, c.dx + l.dx, c.depth + 1 from c join l on l.doc = c.doc and l.ind = c.parent)
 select doc, ind, cast(max(depth) as int) as depth, cast(arg_max(dx, depth) as bigint) as dx from c group by 1, 2""")
 def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders").where("o_custkey % 50 = 1")
+    o = table(spark, sf_dir, "orders")
     prev = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     layers = o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ind"), prev.alias("parent"), F.expr("cast(round(o_totalprice) as bigint) % 7").alias("dx"))
     return graph.ancestor_sums(layers, "dx")
 
 
-@query("""with recursive l as (select o_custkey as doc, o_orderkey as ind, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent from orders where o_custkey % 50 = 1),
+@query("""with recursive l as (select o_custkey as doc, o_orderkey as ind, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent from orders),
 gone as (select doc, ind from l where ind % 5 = 0 union select l.doc, l.ind from l join gone g on g.doc = l.doc and l.parent = g.ind)
 select doc, ind from l where not exists (select 1 from gone g where g.doc = l.doc and g.ind = l.ind)""")
 def recursive_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders").where("o_custkey % 50 = 1")
+    o = table(spark, sf_dir, "orders")
     prev = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     layers = o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ind"), prev.alias("parent"))
     return graph.delete_with_children(layers, layers.where("ind % 5 = 0").select("doc", "ind")).select("doc", "ind")

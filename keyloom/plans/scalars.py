@@ -13,17 +13,17 @@ from ..sources.corpus import table
 from .registry import query
 
 
-@query(r"""select page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(substr(html, 1, 300), '[<>:"/\\|?*\n\r\t]', '_', 'g'), '[\s_]+', '_', 'g'), '_ '), 180), ''), 'unnamed') as name from pages""")
+@query(r"""select page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(html, '[<>:"/\\|?*\n\r\t]', '_', 'g'), '[\s_]+', '_', 'g'), '_ '), 180), ''), 'unnamed') as name from pages""")
 def sanitize_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", t.sanitize_filename(F.substring("html", 1, 300)).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", t.sanitize_filename(F.col("html")).alias("name"))
 
 
-@query(r"""with r as (select doc_id, case doc_id % 4 when 0 then 'The video shows ' when 1 then 'in this image, ' when 2 then '' else 'THE IMAGE FEATURES' end || ' ' || left(text, 200) as x from documents),
+@query(r"""with r as (select doc_id, case doc_id % 4 when 0 then 'The video shows ' when 1 then 'in this image, ' when 2 then '' else 'THE IMAGE FEATURES' end || ' ' || text as x from documents),
 p as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, 'the video features?', '', 'gi'), 'the video shows?', '', 'gi'), 'the image features?', '', 'gi'), 'the image shows?', '', 'gi'), 'this image', '', 'gi'), 'in this image,?', '', 'gi'), '\s+', ' ', 'g')) as x from r)
 select doc_id, md5(upper(left(x, 1)) || substr(x, 2)) as text_md5 from p""")
 def simplify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.expr("case doc_id % 4 when 0 then 'The video shows ' when 1 then 'in this image, ' when 2 then '' else 'THE IMAGE FEATURES' end")
-    x = F.concat(lead, F.lit(" "), F.left("text", F.lit(200)))
+    x = F.concat(lead, F.lit(" "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.simplify_description(x).cast("binary")).alias("text_md5"))
 
 
@@ -182,9 +182,9 @@ def quantize_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colors(spark, sf_dir).select("p_partkey", pixels.nearest(F.col("rgb"), palette).alias("name"))
 
 
-@query("""select p_partkey, case when p_partkey % 3 = 0 then 8 else 4 end as n_vertices, round(10 + p_size / 2.0::double, 6) as right, round(case when p_partkey % 3 = 0 then -2 * 0.5519::double else 0 end, 6) as handle from part where p_size >= 4""")
+@query("""select p_partkey, case when p_partkey % 3 = 0 then 8 else 4 end as n_vertices, round(10 + p_size / 2.0::double, 6) as right, round(case when p_partkey % 3 = 0 then -least(2, p_size / 2.0::double) * 0.5519::double else 0 end, 6) as handle from part""")
 def shape_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size >= 4")
+    p = table(spark, sf_dir, "part")
     size = F.col("p_size").cast("double")
     curve = shapes.rectangle(F.lit(10.0), F.lit(20.0), size, F.lit(40.0), F.when(F.col("p_partkey") % 3 == 0, 2.0).otherwise(0.0))
     c = p.select("p_partkey", curve.alias("c"))
