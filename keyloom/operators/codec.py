@@ -49,12 +49,14 @@ COMMANDS = {
     35: "ellipse",
     36: "/ellipse",
     37: "stroke R~COLOR G~COLOR B~COLOR COLOR_DIM~DIM HAS_C_A HAS_C_IX C_IX~IX BM LC~LINE_CAP LJ~LINE_JOIN ML~MITER_LIMIT WIDTH_ANIMATED~ANIMATED COLOR_ANIMATED~ANIMATED A~COLOR",
+    40: "asset FR~FREQUENCY ID_COUNT~COUNT ID_0~TEXT ID_1~TEXT ID_2~TEXT ID_3~TEXT ID_4~TEXT ID_5~TEXT ID_6~TEXT ID_7~TEXT ID_8~TEXT ID_9~TEXT",
     41: "/asset",
     42: "parent PARENT_INDEX~INDEX",
     43: "null_layer INDEX IN_POINT~TIME OUT_POINT~TIME START_TIME~TIME CT HD HAS_MASK AO TT TP TD CP",
     44: "/null_layer",
     45: "precomp_layer INDEX IN_POINT~TIME OUT_POINT~TIME START_TIME~TIME W~SPACE H~SPACE CT HAS_MASK AO TT TP TD DDD HD CP",
     46: "/precomp_layer",
+    47: "reference_id ID_COUNT~COUNT ID_0~TEXT ID_1~TEXT ID_2~TEXT ID_3~TEXT ID_4~TEXT ID_5~TEXT ID_6~TEXT ID_7~TEXT ID_8~TEXT ID_9~TEXT",
     48: "dimensions WIDTH~SPACE HEIGHT~SPACE",
     49: "/rotation",
     73: "width VALUE~WIDTH_VALUE",
@@ -70,14 +72,14 @@ COMMANDS = {
 }
 
 
-def offsets() -> dict[str, int]:
-    """Each family's first id at the base vocabulary of FIRST tokens."""
+def offsets() -> dict[str, int | None]:
+    """Each family's first id at the base vocabulary of FIRST tokens; COUNT: of how many text tokens follow, TEXT: those themselves, in no band."""
     names, widths = zip(*[(n, int(w)) for n, w in (b.split() for b in BANDS.split(", "))], strict=True)
-    return dict(zip(names, accumulate((BANDS_START, *widths)), strict=False))
+    return dict(zip(names, accumulate((BANDS_START, *widths)), strict=False)) | {"COUNT": NUMBER, "TEXT": None}
 
 
 def dimension(spark: SparkSession, commands: dict[int, str] | None = None) -> DataFrame:
-    """(idx, command, params array of (name, start)): a row for each command."""
+    """(idx, command, params array of (name, start)): a row for each command; start is null for tokens of the base vocabulary."""
     start = offsets()
     rows = []
     for idx, line in (commands or COMMANDS).items():
@@ -101,7 +103,7 @@ def encode(rows: DataFrame, base: int) -> DataFrame:
     shift = base - FIRST
     joined = rows.join(F.broadcast(dimension(rows.sparkSession).withColumnRenamed("params", "order")), "command")  # a row for each command
     there = F.filter("order", lambda p: F.coalesce(F.col("params")[p["name"]], F.lit(MISSING)) != MISSING)
-    numbers = F.transform(there, lambda p: (F.bround(F.col("params")[p["name"]], 0).cast("bigint") + p["start"] + shift))
+    numbers = F.transform(there, lambda p: F.bround(F.col("params")[p["name"]], 0).cast("bigint") + F.coalesce(p["start"] + shift, F.lit(0)))
     tokens = F.concat(F.array((F.col("idx") + COMMAND + shift).cast("bigint")), numbers)
     line = F.array_sort(F.collect_list(F.struct("pos", tokens.alias("tokens"))))
     return joined.groupBy("doc_id").agg(F.flatten(F.transform(line, lambda x: x["tokens"])).alias("tokens"))
@@ -121,7 +123,7 @@ def decode(tokens: DataFrame, base: int) -> DataFrame:
     rows = placed.groupBy("doc_id", "k").agg(F.min("pos").alias("at"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     rows = rows.withColumn("idx", (F.col("t")[0]["token"] - COMMAND - shift).cast("int")).join(F.broadcast(dimension(tokens.sparkSession)), "idx")
     n = F.least(F.size("params"), F.size("t") - 1)
-    bound = F.zip_with(F.slice("params", F.lit(1), n), F.slice("t", F.lit(2), n), lambda p, t: F.struct(p["name"].alias("key"), (t["token"] - p["start"] - shift).cast("double").alias("value")))
+    bound = F.zip_with(F.slice("params", F.lit(1), n), F.slice("t", F.lit(2), n), lambda p, t: F.struct(p["name"].alias("key"), (t["token"] - F.coalesce(p["start"] + shift, F.lit(0))).cast("double").alias("value")))
     return rows.select("doc_id", "at", "command", F.map_from_entries(bound).alias("params"))
 
 

@@ -1,7 +1,8 @@
 """Whole drawings as commands and back: JSON to command rows for the token codec, command rows to JSON.
 
 What the language has no place for is lost on the way, as its grammar wills it: keyframes of paths, the geometry of
-rectangles and ellipses, names. Numbers go through whole numbers.
+rectangles and ellipses, names. Numbers go through whole numbers. Ids of assets and references to them are text, which takes a
+vocabulary (a file of the tokenizers library); without one they are left out. The contents of text layers aren't written.
 """
 
 from __future__ import annotations
@@ -26,9 +27,42 @@ DECODED = {"v": "5.5.2", "fr": 8, "ip": 0, "op": 16, "w": 512, "h": 512, "ddd":
 #: Transform properties in their order, with the command and its number of values.
 TRANSFORM = {"p": ("position", 3), "s": ("scale", 3), "r": ("rotation", 1), "o": ("opacity", 1), "a": ("anchor", 3)}
 
+#: Text tokens of an id at most, and the id of an asset that has none.
+ID_TOKENS, NO_ID = 10, "comp_0"
+#: Parameters of each command, by name.
+KNOWN = {line.split()[0]: {p.split("~")[0] for p in line.split()[1:]} for line in codec.COMMANDS.values()}
+
 Command = tuple[str, dict[str, float]]
 
 
+class Texts:
+    """Text tokens by a vocabulary, the JSON of the tokenizers library; none without one."""
+
+    def __init__(self, vocabulary: str | None):
+        self.model = None
+        if vocabulary is not None:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_str(vocabulary)
+            self.model.encode_special_tokens = True
+
+    def params(self, text: object) -> dict[str, float]:
+        ids = self.model.encode(str(text or ""), add_special_tokens=False).ids[:ID_TOKENS] if self.model else []
+        return {"ID_COUNT": float(len(ids))} | {f"ID_{i}": float(v) for i, v in enumerate(ids)}
+
+    def text(self, params: dict[str, float]) -> str:
+        ids = [int(params[f"ID_{i}"]) for i in range(min(ID_TOKENS, int(params.get("ID_COUNT", 0)))) if f"ID_{i}" in params]
+        return self.model.decode(ids, skip_special_tokens=True) if self.model and ids else ""
+
+
+def vocabulary_of(path: str | None) -> str | None:
+    """The file's contents, which go to the workers with the code: a few MB."""
+    if path is None:
+        return None
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def number(x: object, default: float = 0.0) -> float:
     """A number, the first of a list, or the default."""
     if isinstance(x, list):
@@ -124,7 +158,7 @@ def shape_commands(s: dict) -> Iterator[Command]:
         yield f"/{name}", {}
 
 
-def layer_commands(x: dict) -> Iterator[Command]:
+def layer_commands(x: dict, texts: Texts) -> Iterator[Command]:
     name = LAYER_COMMANDS.get(x.get("ty"))
     if name is None:
         return
@@ -135,10 +169,13 @@ def layer_commands(x: dict) -> Iterator[Command]:
     if x["ty"] == 1:
         color = str(x.get("sc") or "#000000").lstrip("#").ljust(6, "0")
         out |= {"WIDTH": number(x.get("sw"), 512), "HEIGHT": number(x.get("sh"), 512)} | {f"COLOR_{c}": float(int(color[2 * i : 2 * i + 2], 16)) for i, c in enumerate("RGB")} | {"COLOR_A": 255.0}
-    known = {p.split("~")[0] for line in codec.COMMANDS.values() if line.split()[0] == name for p in line.split()[1:]}
-    yield name, {k: v for k, v in (flags | out).items() if k in known}
+    yield name, {k: v for k, v in (flags | out).items() if k in KNOWN[name]}
     if x.get("parent") is not None:
         yield "parent", {"PARENT_INDEX": number(x["parent"])}
+    if x["ty"] == 0:
+        if x.get("refId"):
+            yield "reference_id", texts.params(x["refId"])
+        yield "dimensions", {"WIDTH": number(x.get("w"), 512), "HEIGHT": number(x.get("h"), 512)}
     yield from transform_commands(x.get("ks") or {})
     for s in x.get("shapes") or []:
         if isinstance(s, dict):
@@ -146,20 +183,30 @@ def layer_commands(x: dict) -> Iterator[Command]:
     yield f"/{name}", {}
 
 
-def commands_of(doc: dict) -> Iterator[Command]:
-    """A drawing's header and its layers of supported types."""
+def commands_of(doc: dict, texts: Texts | None = None) -> Iterator[Command]:
+    """A drawing's header, its assets that have layers, and its own layers of supported types."""
+    texts = texts or Texts(None)
     yield "animation", {k.upper(): number(doc.get(k), v) for k, v in HEADER.items()}
+    for asset in doc.get("assets") or []:
+        if isinstance(asset, dict) and "layers" in asset:
+            yield "asset", {"FR": number(asset.get("fr"))} | texts.params(asset.get("id"))
+            for x in asset["layers"] or []:
+                if isinstance(x, dict):
+                    yield from layer_commands(x, texts)
+            yield "/asset", {}
     for x in doc.get("layers") or []:
         if isinstance(x, dict):
-            yield from layer_commands(x)
+            yield from layer_commands(x, texts)
 
 
-def drawing_of(commands: list[Command]) -> dict:
-    """The drawing that commands describe: a header, layers with their transforms, groups with paths, fills and strokes."""
+def drawing_of(commands: list[Command], texts: Texts | None = None) -> dict:
+    """The drawing that commands describe: a header, assets, layers with their transforms, groups with paths, fills and strokes."""
+    texts = texts or Texts(None)
     doc: dict = DECODED | {"layers": [], "assets": []}
     types = {v: k for k, v in LAYER_COMMANDS.items()}
     props = {v[0]: k for k, v in TRANSFORM.items()}
     layer: dict | None = None
+    layers: list[dict] = doc["layers"]
     open_lists: list[list] = []
     prop: dict | None = None
     path: dict | None = None
@@ -170,10 +217,20 @@ def drawing_of(commands: list[Command]) -> dict:
             layer = {"ty": types[name], "ind": p.get("INDEX", 0), "ip": p.get("IN_POINT", 0), "op": p.get("OUT_POINT", 0), "st": p.get("START_TIME", 0), "ks": {}}
             if name == "layer":
                 layer["shapes"] = []
-            doc["layers"].append(layer)
+            layers.append(layer)
             open_lists, prop, path = [layer.setdefault("shapes", [])] if name == "layer" else [], None, None
+        elif name == "asset":
+            asset = {"id": texts.text(p) or NO_ID, "fr": p.get("FR", 0), "layers": []}
+            doc["assets"].append(asset)
+            layer, layers, open_lists = None, asset["layers"], []
+        elif name == "/asset":
+            layer, layers, open_lists = None, doc["layers"], []
         elif layer is None:
             continue
+        elif name == "reference_id":
+            layer["refId"] = texts.text(p)
+        elif name == "dimensions":
+            layer |= {"w": p.get("WIDTH", 512), "h": p.get("HEIGHT", 512)}
         elif name == "parent":
             layer["parent"] = p.get("PARENT_INDEX")
         elif name in props and not (open_lists and open_lists[-1] and open_lists[-1][-1].get("ty") == "st"):
@@ -215,58 +272,76 @@ def drawing_of(commands: list[Command]) -> dict:
     return repair(doc)
 
 
-def _to_commands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_commands(vocabulary: str | None) -> Callable:
     kind = pa.map_(pa.string(), pa.float64())
-    for b in batches:
-        rows: list[tuple] = []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            try:
-                rows += [(key, i, name, list(params.items())) for i, (name, params) in enumerate(commands_of(json.loads(text)))]
-            except Exception:  # what isn't a drawing has no commands
-                rows = [r for r in rows if r[0] != key]
-        cols = zip(*rows, strict=True) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), kind), strict=True)], ["doc_id", "pos", "command", "params"])
+    types = {"doc_id": pa.int64(), "pos": pa.int32(), "command": pa.string(), "params": kind, "error": pa.string()}
+
+    def to_commands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = Texts(vocabulary)
+        for b in batches:
+            rows: list[tuple] = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(key, i, name, list(params.items()), None) for i, (name, params) in enumerate(list(commands_of(json.loads(text), texts)))]
+                except Exception as e:  # what isn't a drawing is one row with its error
+                    rows.append((key, None, None, None, type(e).__name__))
+            cols = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
+
+    return to_commands
 
 
-def to_commands(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, pos, command, params): the commands of every drawing; text that isn't one has none."""
-    return docs.select(F.col(key).cast("bigint").alias("key"), text).mapInArrow(_to_commands, "doc_id bigint, pos int, command string, params map<string, double>")
+def to_commands(docs: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, pos, command, params, error): the commands of every drawing; for text that isn't one, a row with the kind of error alone.
 
+    vocabulary: path of a tokenizer file for ids of assets.
+    """
+    made = docs.select(F.col(key).cast("bigint").alias("key"), text)
+    return made.mapInArrow(_to_commands(vocabulary_of(vocabulary)), "doc_id bigint, pos int, command string, params map<string, double>, error string")
 
-def encode_drawings(docs: DataFrame, key: str, text: str, base: int, longest: int | None = None) -> DataFrame:
-    """(doc_id, tokens) of drawings, cut to `longest` tokens if given."""
-    tokens = codec.encode(to_commands(docs, key, text), base)
+
+def encode_drawings(docs: DataFrame, key: str, text: str, base: int, longest: int | None = None, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, tokens) of drawings, cut to `longest` tokens if given; bad ones have no row here (see to_commands)."""
+    tokens = codec.encode(to_commands(docs, key, text, vocabulary).drop("error"), base)
     return tokens.withColumn("tokens", F.slice("tokens", 1, longest)) if longest else tokens
 
 
-def _to_drawing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, errors = [], []
-        for rows in b.column("rows").to_pylist():
-            try:
-                texts.append(json.dumps(drawing_of([(r["command"], dict(r["params"] or [])) for r in rows]), separators=(",", ":")))
-                errors.append(None)
-            except Exception as e:  # a bad sequence is a row with its error
-                texts.append(None)
-                errors.append(type(e).__name__)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "text", "error"])
+def _to_drawing(vocabulary: str | None) -> Callable:
+    def to_drawing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Texts(vocabulary)
+        for b in batches:
+            texts, errors = [], []
+            for rows in b.column("rows").to_pylist():
+                try:
+                    texts.append(json.dumps(drawing_of([(r["command"], dict(r["params"] or [])) for r in rows], known), separators=(",", ":")))
+                    errors.append(None)
+                except Exception as e:  # a bad sequence is a row with its error
+                    texts.append(None)
+                    errors.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "text", "error"])
+
+    return to_drawing
 
 
-def decode_drawings(tokens: DataFrame, base: int) -> DataFrame:
+def decode_drawings(tokens: DataFrame, base: int, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, text, error): repaired drawings of (doc_id, tokens), which are cleaned first."""
     rows = codec.decode(tokens.withColumn("tokens", codec.clean(F.col("tokens"), base)), base)
     line = F.array_sort(F.collect_list(F.struct("at", "command", F.map_entries("params").alias("params"))))
     plain = F.transform("rows", lambda r: F.struct(r["command"].alias("command"), F.map_from_entries(r["params"]).alias("params")))
-    return rows.groupBy("doc_id").agg(line.alias("rows")).select("doc_id", plain.alias("rows")).mapInArrow(_to_drawing, "doc_id bigint, text string, error string")
-
-
-def roundtrip_report(docs: DataFrame, key: str, text: str, base: int) -> DataFrame:
-    """One row: documents, those that encode, those that decode, their tokens and layers."""
-    tokens = encode_drawings(docs, key, text, base)
-    back = decode_drawings(tokens, base)
-    layers = F.coalesce(F.size(F.from_json("text", "layers array<struct<ty:int>>")["layers"]), F.lit(0))
-    both = docs.select(F.col(key).cast("bigint").alias("doc_id")).join(tokens.select("doc_id", F.size("tokens").alias("n")), "doc_id", "left").join(back.select("doc_id", F.col("error").isNull().alias("ok"), layers.alias("layers")), "doc_id", "left")
-    return both.agg(F.count("*").alias("total"), F.count("n").alias("encoded"), F.count_if("ok").alias("decoded"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("layers"), F.lit(0)).alias("layers"))
+    return rows.groupBy("doc_id").agg(line.alias("rows")).select("doc_id", plain.alias("rows")).mapInArrow(_to_drawing(vocabulary_of(vocabulary)), "doc_id bigint, text string, error string")
+
+
+def roundtrip_report(docs: DataFrame, key: str, text: str, base: int, vocabulary: str | None = None) -> DataFrame:
+    """One row: documents, those that encode, those that decode, their tokens, layers, and layers of assets."""
+    tokens = encode_drawings(docs, key, text, base, vocabulary=vocabulary)
+    back = decode_drawings(tokens, base, vocabulary)
+    parsed = F.from_json("text", "layers array<struct<ty:int>>, assets array<struct<id:string,layers:array<struct<ty:int>>>>")
+    layers = F.coalesce(F.size(parsed["layers"]), F.lit(0))
+    inner = F.aggregate(F.coalesce(parsed["assets"]["layers"], F.array()), F.lit(0), lambda n, x: n + F.greatest(F.size(x), F.lit(0)))
+    both = docs.select(F.col(key).cast("bigint").alias("doc_id")).join(tokens.select("doc_id", F.size("tokens").alias("n")), "doc_id", "left")
+    both = both.join(back.select("doc_id", F.col("error").isNull().alias("ok"), layers.alias("layers"), inner.alias("inner")), "doc_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(F.count("*").alias("total"), F.count("n").alias("encoded"), F.count_if("ok").alias("decoded"), total("n").alias("tokens"), total("layers").alias("layers"), total("inner").alias("asset_layers"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

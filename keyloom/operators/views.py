@@ -10,6 +10,9 @@ from .rank import global_rank
 #: The views in their order, the ratios where losses are missing, floor and exponent of the adaptive ratios.
 VIEWS = ("text", "image", "video")
 FALLBACK_RATIOS = {"text": 1.0, "image": 1.2, "video": 1.4}
+#: What labels call the thing that is made, a parameter. What it is made from, and the view that this is.
+TARGET = "drawing"
+SOURCES = {"text": "text", "text-image": "image", "video": "video"}
 RATIO_FLOOR, RATIO_EXPONENT, LEAST_LOSS = 0.25, 1.0, 1e-6
 
 
@@ -18,11 +21,12 @@ def first_present(*columns: str | Column) -> Column:
     return F.coalesce(*[F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns])
 
 
-def normalize_task(label: Column) -> Column:
-    """Labels such as ` Text_Image-to-X `, `video2x` and `text` by their view; null means text; others in lower case with hyphens."""
+def normalize_task(label: Column, target: str = TARGET) -> Column:
+    """Labels such as ` Text_Image-to-<target> `, `video2<target>` and `text` by their view; null means text; others in lower case with hyphens."""
     plain = F.replace(F.lower(F.trim(label)), F.lit("_"), F.lit("-"))
-    source = F.regexp_replace(plain, r"^(text|text-image|video)(-to-|2)[a-z]+$", "$1")
-    return F.when(label.isNull(), F.lit("text")).when(source == "text-image", F.lit("image")).otherwise(source)
+    alias = {f"{source}{joint}{target}": view for source, view in SOURCES.items() for joint in ("-to-", "2")}
+    known = F.create_map(*[F.lit(x) for pair in alias.items() for x in pair])
+    return F.when(label.isNull(), F.lit("text")).otherwise(F.coalesce(F.try_element_at(known, plain), plain))
 
 
 def available_views(detail: Column, image: Column, video: Column, target: Column, task: Column) -> Column:

@@ -18,7 +18,7 @@ def one(spark, column):
 
 
 def test_views_of_labels(spark):
-    for label, want in ((None, "text"), (" Text_To_X ", "text"), ("text-image2x", "image"), ("IMAGE", "image"), ("video-to-x", "video"), ("mixed", "mixed"), ("Other_Kind", "other-kind")):
+    for label, want in ((None, "text"), (" Text_To_Drawing ", "text"), ("text-image2drawing", "image"), ("IMAGE", "image"), ("video-to-drawing", "video"), ("text-to-speech", "text-to-speech"), ("video2x", "video2x"), ("mixed", "mixed"), ("Other_Kind", "other-kind")):
         assert one(spark, views.normalize_task(F.lit(label).cast("string"))) == want
     schema = "idx int, detail string, image string, video string, target string, task_type string"
     rows = [(0, "d", "i", "v", "t", "mixed"), (1, "d", "i", "v", "t", None), (2, "", "i", "v", "t", "mixed"), (3, "d", "i", "v", None, "mixed"), (4, "d", None, None, "", "video"), (5, "d", "i", "v", "", "unknown")]
