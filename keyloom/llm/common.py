@@ -7,13 +7,13 @@ import contextlib
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -159,6 +159,29 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.inline(made))
 
 
+#: Steps of a fold that append to one array.
+FOLD = 256
+
+
+def folded(n: Column, none: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The array that n steps append to, each given (at, i) and giving the next `at` and an array; `at` starts at 0.
+
+    An append copies what is there, so steps append to arrays of FOLD steps, and these to the whole.
+    """
+    start = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def one(acc: Column, i: Column) -> Column:
+        at, more = step(acc["at"], i)
+        return start(at, F.concat(acc["out"], more))
+
+    def block(acc: Column, b: Column) -> Column:
+        inside = F.sequence(b * FOLD, F.least(n, (b + 1) * FOLD) - 1)
+        return F.aggregate(inside, start(acc["at"], none), one, lambda got: start(got["at"], F.concat(acc["out"], F.array(got["out"]))))
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int")), start(F.lit(0), F.slice(F.array(none), 1, 0)), block, lambda acc: F.flatten(acc["out"]))
+    return F.when(n > 0, whole).otherwise(none)
+
+
 def plainly(df: DataFrame, prefix: str = "c") -> DataFrame:
     """df with columns named by number, so that no name of its own clashes; toDF(*df.columns) brings the names back."""
     return df.toDF(*[f"{prefix}{i}" for i in range(len(df.columns))])

@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, columns_or_null, literal_rows
+from .common import Table, columns_or_null, folded, literal_rows
 
 
 @dataclass(frozen=True)
@@ -146,16 +146,14 @@ def spans_of(rule: Rule, rank: int, when: Column) -> tuple[Column, Column]:
     parts = F.when(hit, F.struct(F.split("text", rule.pattern, -1).alias("rest"), F.regexp_extract_all("text", pattern, 0).alias("whole"), F.regexp_extract_all("text", pattern, rule.group).alias("part")))
     got = F.col(f"m_{rule.kind}")
 
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["at"] + F.length(F.get(got["rest"], i))
+    def step(before: Column, i: Column) -> tuple[Column, Column]:
+        at = before + F.length(F.get(got["rest"], i))
         end = at + F.length(F.get(got["whole"], i))
         span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        kept = F.length(F.get(got["part"], i)) >= rule.least
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return end, F.when(F.length(F.get(got["part"], i)) >= rule.least, F.array(span)).otherwise(none)
 
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(got["whole"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return parts, F.when(got.isNotNull(), walked).otherwise(none)
+    return parts, F.when(got.isNotNull(), folded(F.size(got["whole"]), none, step)).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -54,3 +54,7 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == n for x in want) for n in range(3))
+
+
+def test_many_matches_in_one_text(spark):
+    compare(spark, [(1, "token=abcdef " * 5000), (2, "api_key=é token=ab " * 300 + "passwd: 123456" * 257), (3, "secret=abcdef " * 256), (4, "secret=abcdef " * 257)])
