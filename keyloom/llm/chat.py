@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_or_null, literal_rows
+from .common import columns_or_null, folded, literal_rows
 
 #: The template's marks, and strings that other templates use for control.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -112,15 +112,23 @@ def parse(formatted: Column) -> Column:
     whole = F.filter(F.split(formatted, r"(?<=<\|end\|>)", -1), lambda p: p != "")
     cut = F.transform(whole, lambda p: F.struct(F.length(p).alias("size"), F.split(p, r"<\|turn\|>|<\|text\|>|<\|end\|>", -1).alias("part")))
 
-    def step(acc: Column, c: Column) -> Column:
+
+    def sums(sizes: Column) -> Column:
+        def step(before: Column, i: Column) -> tuple[Column, Column]:
+            end = before + F.get(sizes, i)
+            return end, F.array(end)
+
+        return folded(F.size(sizes), F.array().cast("array<int>"), step)
+
+    # the sizes are bound to a name, else each step would reckon all of them
+    ends = F.flatten(F.transform(F.array(F.transform(whole, F.length)), sums))
+
+    def one(c: Column, end: Column) -> Column:
         role, text = F.get(c["part"], F.lit(1)), F.get(c["part"], F.lit(2))
-        end = acc["at"] + c["size"]
         stop = end - F.lit(len(END))
-        one = F.struct(unescape(role).alias("role"), unescape(text).alias("text"), (stop - F.length(text)).alias("start"), stop.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"), (stop - F.length(text)).alias("start"), stop.alias("end"))
 
-    none = F.array().cast("array<struct<role:string,text:string,start:int,end:int>>")
-    return F.aggregate(cut, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.zip_with(cut, ends, one)
 
 
 def format_chats(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:

@@ -54,3 +54,20 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n_turns int").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op2_chat_format(spark, str(tmp_path)).collect()}
     assert got == plain(rows)
+
+
+def test_many_turns(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 255, 256, 257, 5000):
+        turns = [("user" if k % 2 else "assistant", f"turn {k} é🙂 <|end|> \\") for k in range(n)]
+        df = spark.createDataFrame([(turns,)], "turns array<struct<role:string,text:string>>")
+        text, back = df.select(chat.render(F.col("turns")).alias("t")).select("t", chat.parse(F.col("t"))).first()
+        assert [(r.role, r.text) for r in back] == turns
+        assert all(chat_plain(text[r.start : r.end]) == r.text for r in back)
+
+
+def chat_plain(text):
+    import re
+
+    return re.sub(r"(?s)\\(.)", r"\1", text)
