@@ -269,14 +269,15 @@ def _decode(model: bytes) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         for b in batches:
-            texts = [sp.decode([i for i in ids if i is not None]) if ids else "" for ids in b.column("token_ids").to_pylist()]
+            most = sp.get_piece_size()
+            texts = [sp.decode([i for i in ids if i is not None and 0 <= i < most]) if ids else "" for ids in b.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return decode
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) of (doc_id, token_ids), a row for each; null lists give empty texts, null ids nothing."""
+    """(doc_id, text) of (doc_id, token_ids), a row for each; null lists give empty texts, null ids and those outside the model nothing."""
     with open(model, "rb") as f:
         proto = f.read()
     return columns_or_null(tokens, doc_id="bigint", token_ids="array<int>").mapInArrow(_decode(proto), "doc_id bigint, text string")

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from keyloom.llm import ngram
 
 SF = "/root/testdata/sf0.001"
@@ -75,9 +77,36 @@ def test_empty_table(spark):
     assert row.train_tokens == 0 and row.score == 0.0
 
 
+def plain_steps(train, text):
+    """p of each token of a text, the end the last, by dictionaries."""
+    two = Counter(p for t in map(tokens, train) for p in zip(["<", *t], [*t, None]))
+    one = Counter(w for t in map(tokens, train) for w in [*t, None])
+    before, led, follow = Counter(w for _, w in two), Counter(w for t in map(tokens, train) for w in ["<", *t]), defaultdict(lambda: [0, 0, 0])
+    for (h, _), c in two.items():
+        follow[h][min(c, 3) - 1] += 1
+    disc = lambda counts: ngram.discounts(np.array([sum(c == i for c in counts) for i in (1, 2, 3, 4)]))
+    d2, d1 = disc(list(two.values())), disc(list(before.values()))
+    rest = sum(d1[min(c, 3) - 1] for c in before.values()) / len(two)
+    off = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
+    out = []
+    for h, w in zip(["<", *tokens(text)], [*tokens(text), None]):
+        p = off(before[w], d1) / len(two) + rest / (len(one) + 1)
+        out.append((off(two[h, w], d2) + sum(a * b for a, b in zip(d2, follow[h])) * p) / led[h] if led[h] else p)
+    return out
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(["a b a", "b c", "a c c"])], "doc_id long, text string, held_out boolean")
     m = ngram.train(docs)
-    # after "a", in a text of one word more: each known word, the end and one unknown word
-    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(["a", "a a", "a b", "a c", "a zz"])], docs.schema)
-    assert m.vocabulary == 4 and ngram.scores(rows, m).count() == 5
+    assert m.vocabulary == 4
+    known, probe = ["a", "b", "c"], ["a", "b", "c", "a zz"]
+    texts = [*(f"{h} {w}" for h in probe for w in [*known, "new"]), *probe, *(w for w in [*known, "new"])]
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], docs.schema)
+    score = {texts[r.doc_id]: r.score for r in ngram.scores(rows, m).collect()}
+    # the model's scores are those of the plain steps, and the plain steps sum to one
+    steps = lambda t: plain_steps(["a b a", "b c", "a c c"], t)
+    for t in texts:
+        assert math.isclose(score[t], sum(math.log10(p) for p in steps(t)), rel_tol=1e-9)
+    for h in ["", *probe]:  # each known word, one unknown word, the end
+        after = [steps(f"{h} {w}".strip())[len(h.split())] for w in [*known, "new"]] + [steps(h)[-1]]
+        assert math.isclose(sum(after), 1.0, rel_tol=1e-9), h

@@ -65,3 +65,8 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert P.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert P.decode(spark.createDataFrame([(1, None)], "doc_id long, token_ids array<int>")).first().text == ""
+
+
+def test_ids_outside_the_model(spark):
+    got = P.decode(spark.createDataFrame([(1, [-1, 10**6, None]), (2, None)], "doc_id long, token_ids array<int>")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "", 2: ""}
