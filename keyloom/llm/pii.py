@@ -25,7 +25,7 @@ from .common import Table, columns_or_null, plainly
 KINDS = ("email", "ip", "card", "phone")
 #: Of bootstrapping: rounds, a pattern's least confidence and different sure instances, an instance's least confidence.
 ROUNDS, LEAST_PATTERN, LEAST_SUPPORT, LEAST_INSTANCE = 3, 0.8, 3, 0.9
-#: Found instances with their patterns that are broadcast at most; more are joined by a shuffle.
+#: Rows of trusted instances, of patterns with support, and of what is found, that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1_000_000
 #: What a shape's score weighs beside those of lexical patterns.
 SHAPE_WEIGHT = 0.3
@@ -184,25 +184,32 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, which is read from a table, to be broadcast if it has BROADCAST rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def bootstrap(seen: DataFrame) -> DataFrame:
     """(instance, pattern, kind): what the pattern graph finds besides the seeds, and the sure patterns that find it.
 
     seen: (instance, kind or null, shape, pattern or null). An instance's trust is 1 for a seed's kind; else it is a noisy or over its sure
     patterns of a kind, 1 - product of (1 - score), with SHAPE_WEIGHT * its shape's score as one more factor. A pattern's score is the mean
-    trust over all different instances it surrounds, a shape's likewise; so copies of a text weigh nothing. Patterns with fewer
-    instances than LEAST_SUPPORT can't be sure and are left out. All steps aggregate before they shuffle.
+    trust over all different instances it surrounds, a shape's likewise; so copies of a text weigh nothing. Each round looks at all patterns
+    with LEAST_SUPPORT trusted instances; no other can be sure. All steps aggregate before they shuffle.
     """
-    pairs = Table(seen.where("pattern is not null").select("pattern", "instance").distinct(), "pairs")
-    total = Table(pairs.df.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT), "patterns").df
-    edges = Table(pairs.df.join(total.select("pattern"), "pattern", "left_semi"), "edges").df
-    pairs.drop()
+    rows = seen.where("pattern is not null").select("pattern", "instance")
     seeds = Table(seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("trust", F.lit(1.0)), "seeds").df
     shapes = Table(seen.groupBy("instance").agg(F.min("shape").alias("shape")), "shapes").df
     of_shape = Table(shapes.groupBy("shape").agg(F.count("*").alias("n")), "shape_sizes").df
     known = seeds
     for _ in range(ROUNDS):
-        scored = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"), F.count_if(F.col("trust") >= LEAST_INSTANCE).alias("support"))
-        scored = scored.where(F.col("support") >= LEAST_SUPPORT).join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score")).where(F.col("score") >= LEAST_PATTERN)
+        trusted = bounded(known.where(F.col("trust") >= LEAST_INSTANCE).select("instance", "kind"))
+        support = rows.join(trusted, "instance").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= LEAST_SUPPORT)
+        support = Table(support, "support").df
+        edges = Table(rows.join(bounded(support.select("pattern")), "pattern", "left_semi").distinct(), "edges").df
+        total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+        scored = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("trust").alias("mass")).join(support, ["pattern", "kind"])
+        scored = scored.join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score")).where(F.col("score") >= LEAST_PATTERN)
         doubt = F.sum(F.log(1 - F.least("score", F.lit(0.99))))
         sure = Table(scored, "scored").df
         rated = edges.join(sure, "pattern").groupBy("instance", "kind").agg(doubt.alias("doubt"))
@@ -227,7 +234,7 @@ def extract(docs: DataFrame) -> DataFrame:
     found = Table(rows.mapInArrow(_find, FOUND).withColumn("row", F.monotonically_increasing_id()), "pii").df
     seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     more = Table(bootstrap(seen.select("kind", "instance", "shape", F.explode_outer("patterns").alias("pattern"))), "more").df
-    more = F.broadcast(more) if more.count() <= BROADCAST else more
+    more = bounded(more)
     # an instance counts where a sure pattern surrounds it, not wherever else its text stands
     slots = seen.where("kind is null").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     added = slots.join(more, ["instance", "pattern"]).select("row", F.struct(F.concat("kind", F.lit("_ctx")).alias("kind"), "start", "end").alias("span"))
