@@ -1,4 +1,4 @@
-"""Language-model scores (operator 8): an interpolated modified Kneser-Ney bigram model of the training rows.
+"""Language-model scores (operator 8): an interpolated modified Kneser-Ney trigram model of the training rows.
 
 The model is a set of sorted arrays in the shared folder, written by the tasks that count and memory-mapped by
 the tasks that score; no task holds more than one part of it and the driver none.
@@ -6,23 +6,29 @@ the tasks that score; no task holds more than one part of it and the driver none
 * words: sorted 64-bit hashes with counts, cut by the hash's leading bits; a word's id is its rank;
 * bigrams: sorted keys first * (V + 2) + second with counts, dealt by the first word. First words with a large share
   of all tokens (HOT_SHARE) are dealt by both words;
-* first words: how many different second words follow them once, twice, more often;
-* continuations: how many different words stand before a word.
+* trigrams, dealt as their first two words are: by rank of that bigram in its part, the sorted third words with counts;
+  how many third words occur once and twice;
+* lower orders: how many different words stand before a bigram (one after the begin: its count) and before a word, and
+  how many second words of a first word have such a number of one, two, more.
 
-Map tasks sort and count what they see and send delta-coded blocks, one for each part; so what is shuffled
-is a few bytes for each different bigram of a task.
+A text is begin, words, end; its first token has the begin alone as context. Map tasks sort and count what they see
+and send delta-coded blocks, one for each part; so what is shuffled is a few bytes for each different n-gram of a task.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
+import sys
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +40,10 @@ WORD_PART, PAIR_PART = 64 << 20, 16 << 20
 HELD = 4_000_000
 #: A first word with over 1 / (HOT_SHARE * parts) of all tokens is dealt by both words.
 HOT_SHARE = 4
+#: Files a scoring task holds mapped at a time; Linux allows 65,530 maps a process.
+OPEN = 48_000
+#: Tasks that merge parts, at most; beyond that a task merges several, one after the other.
+MERGERS = 20_000
 
 
 @dataclass
@@ -47,9 +57,10 @@ class Model:
     tokens: int
     docs: int
     hot: list[int] = field(default_factory=list)
-    hot_follow: dict[int, tuple[int, int, int]] = field(default_factory=dict)
+    hot_follow: dict[int, tuple[int, ...]] = field(default_factory=dict)
     end_before: int = 0
     kinds: int = 0
+    top_discount: tuple[float, ...] = (0.5, 0.5, 0.5)
     discount: tuple[float, ...] = (0.5, 0.5, 0.5)
     low_discount: tuple[float, ...] = (0.5, 0.5, 0.5)
     low_rest: float = 1.0
@@ -99,38 +110,80 @@ def unpack(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1)
 
 
-BLOCK = "part int, n bigint, keys binary, counts binary"
+BLOCK = "part int, n bigint, keys binary, counts binary, thirds binary"
 
 
-def blocks(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each part: sorted keys as deltas, and counts."""
-    order = np.lexsort((keys, part))
+def blocks(part: np.ndarray, keys: np.ndarray, counts: np.ndarray, thirds: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row for each part: keys, which come sorted, as deltas, and counts; for trigrams the third words too."""
+    order = np.argsort(part, kind="stable")
     part, keys, counts = part[order], keys[order], counts[order]
+    thirds = None if thirds is None else thirds[order]
     cut = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else [0]
     for a, b in zip(cut, cut[1:], strict=False):
         k = keys[a:b].astype(np.uint64)
-        row = [[int(part[a])], [int(b - a)], [pack(np.diff(k, prepend=np.uint64(0)))], [pack(counts[a:b])]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "keys", "counts"])
+        row = [[int(part[a])], [int(b - a)], [pack(np.diff(k, prepend=np.uint64(0)))], [pack(counts[a:b])], [None if thirds is None else pack(thirds[a:b])]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "n", "keys", "counts", "thirds"])
 
 
-def merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+def unblocked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     sizes = table.column("n").to_pylist()
     keys = np.concatenate([np.cumsum(unpack(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), sizes, strict=True)])
     counts = np.concatenate([unpack(c.as_py(), n).astype(np.int64) for c, n in zip(table.column("counts"), sizes, strict=True)])
-    return (table.column("part")[0].as_py(), *counted(keys, counts))
+    return table.column("part")[0].as_py(), keys, counts
+
+
+def merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    part, keys, counts = unblocked(table)
+    return (part, *counted(keys, counts))
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+
+
+def capped(n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those of 255 and more by position."""
+    many = np.flatnonzero(n >= 255)
+    return {"seen": np.minimum(n, 255).astype(np.uint8), "many": np.stack([many, n[many]])}
 
 
-def save(path: str, name: str, array: np.ndarray) -> None:
-    """Whole or not at all, whichever attempt of the task comes last."""
+def uncapped(got: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    n = got["seen"][at].astype(np.int64)
+    big = np.flatnonzero(n == 255)
+    n[big] = got["many"][1][np.searchsorted(got["many"][0], at[big])]
+    return n
+
+
+def save(path: str, name: str, **arrays: np.ndarray) -> None:
+    """One file of named arrays; whole or not at all, whichever attempt of the task comes last."""
     os.makedirs(path, exist_ok=True)
+    at, head = 0, {}
+    for k, x in arrays.items():
+        head[k] = [x.dtype.str, x.shape, at]
+        at += -(-x.nbytes // 64) * 64
+    told = json.dumps(head).encode()
+    start = -(-(8 + len(told)) // 64) * 64
     own = f"{path}/.{name}-{os.getpid()}-{os.urandom(6).hex()}"
     with open(own, "wb") as f:
-        np.save(f, array)
-    os.replace(own, f"{path}/{name}.npy")
-
-
-def load(path: str, name: str) -> np.ndarray:
-    return np.load(f"{path}/{name}.npy", mmap_mode="r")
+        f.write(start.to_bytes(8, "little") + told.ljust(start - 8))
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes().ljust(-(-x.nbytes // 64) * 64, b"\0"))
+    os.replace(own, f"{path}/{name}.bin")
+
+
+def load(path: str, name: str) -> dict[str, np.ndarray] | None:
+    """A file's arrays over one memory map, which keeps no file open; None if there is none."""
+    try:
+        with open(f"{path}/{name}.bin", "rb") as f:
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+    except FileNotFoundError:
+        return None
+    start = int.from_bytes(whole[:8], "little")
+    out = {}
+    for k, (kind, shape, at) in json.loads(whole[8:start]).items():
+        size = int(np.prod(shape))
+        out[k] = np.frombuffer(whole, kind, size, start + at).reshape(shape) if size else np.empty(shape, kind)
+    return out
 
 
 def hashes(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +219,7 @@ def word_part(path: str, bits: int, most: int) -> Callable:
         part, keys, counts = merged(table)
         often: list[list[int]] = []
         if part < 1 << bits:
-            save(path, f"word-{part}", keys)
-            save(path, f"times-{part}", counts)
+            save(path, f"word-{part}", word=keys, times=counts)
             top = np.flatnonzero(counts * most > counts.sum())
             often = [[int(i), int(counts[i])] for i in top]
             return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "tokens": pa.array([0], pa.int64()), "docs": pa.array([0], pa.int64()), "often": pa.array([often], pa.list_(pa.list_(pa.int64())))})
@@ -182,8 +234,10 @@ class Words:
     def __init__(self, m: Model, *extra: str):
         path = posix(m.path)
         self.start, self.shift = m.start, np.uint64(64 - m.bits)
-        self.word = [load(path, f"word-{p}") if n else np.empty(0, np.uint64) for p, n in enumerate(m.sizes)]
-        self.extra = {k: [load(path, f"{k}-{p}") if n else np.empty(0, np.int64) for p, n in enumerate(m.sizes)] for k in extra}
+        none = {"word": np.empty(0, np.uint64)} | {k: np.empty(0, np.int64) for k in extra}
+        parts = [load(path, f"word-{p}") | ((load(path, f"before-{p}") if "before" in extra else None) or {}) if n else none for p, n in enumerate(m.sizes)]
+        self.word = [got["word"] for got in parts]
+        self.extra = {k: [got[k] for got in parts] for k in extra}
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Ids, -1 for words that aren't there, and the extra arrays' values, 0 for those."""
@@ -258,20 +312,96 @@ def pair_counts(m: Model) -> Callable:
 
 def pair_part(m: Model) -> Callable:
     def write(table: pa.Table) -> pa.Table:
-        path, width = posix(m.path), np.uint64(m.words + 2)
         part, keys, counts = merged(table)
-        many = np.flatnonzero(counts >= 255)
-        save(path, f"pair-{part}", keys)
-        save(path, f"seen-{part}", np.minimum(counts, 255).astype(np.uint8))
-        save(path, f"many-{part}", np.stack([many, counts[many]]))
-        first = (keys // width).astype(np.int64)
+        save(posix(m.path), f"pair-{part}", key=keys, **capped(counts))
+        return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([[len(keys)]], pa.list_(pa.int64()))})
+
+    return write
+
+
+def triple_counts(m: Model) -> Callable:
+    """Trigrams as (key of the first two words, third word), dealt as those two are. Sent off whenever HELD are there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, width = Words(m), np.int64(m.words + 2)
+        held: list = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            some, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            key, n = counted(back * width + np.concatenate([x for _, x in held]))
+            pair = some[key // width]
+            held.clear()
+            yield from blocks(pair_parts(pair // width, pair % width, m), pair, n, key % width)
+
+        for batch in batches:
+            for b in slices(batch, "text"):
+                flat, per = words(b.column("text"))
+                h, at = hashes(flat)
+                first, second, _ = sequences(vocabulary.find(h)[0][at], per, m)
+                inner = np.flatnonzero(first[1:] != m.words + 1)
+                held.append((first[inner] * width + second[inner], second[inner + 1]))
+                if sum(len(x) for x, _ in held) > HELD:
+                    yield from sent()
+        if held:
+            yield from sent()
+
+    return count
+
+
+def triple_part(m: Model) -> Callable:
+    def write(table: pa.Table) -> pa.Table:
+        path, width = posix(m.path), np.uint64(m.words + 2)
+        part, pair, n = unblocked(table)
+        third = np.concatenate([unpack(t.as_py(), k) for t, k in zip(table.column("thirds"), table.column("n").to_pylist(), strict=True)])
+        own = load(path, f"pair-{part}")["key"]
+        key, n = counted(np.searchsorted(own, pair).astype(np.uint64) * width + third, n)
+        at = (key // width).astype(np.int64)
+        once, twice = (np.bincount(at[n == k], minlength=len(own)) for k in (1, 2))
+        start = np.searchsorted(at, np.arange(len(own) + 1))
+        save(path, f"triple-{part}", third=narrow(key % width), start=narrow(start), once=narrow(once), twice=narrow(twice), **capped(n))
+        row = [int((n == k).sum()) for k in (1, 2, 3, 4)]
+        return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([row], pa.list_(pa.int64()))})
+
+    return write
+
+
+def extensions(m: Model) -> Callable:
+    """From each part of the trigrams: how many of them end in each bigram, dealt as the bigrams are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, width = posix(m.path), np.int64(m.words + 2)
+        for batch in batches:
+            for p in batch.column("part").to_pylist():
+                pairs, got = load(path, f"pair-{p}"), load(path, f"triple-{p}")
+                if pairs is None:
+                    continue
+                # a count of 0, so that every part of the bigrams is merged
+                yield from blocks(np.array([p]), pairs["key"][:1], np.zeros(1, np.int64))
+                if got is not None:
+                    middle = np.repeat((pairs["key"] % np.uint64(width)).astype(np.int64), np.diff(got["start"].astype(np.int64)))
+                    key, n = counted(middle * width + got["third"].astype(np.int64))
+                    yield from blocks(pair_parts(key // width, key % width, m), key, n)
+
+    return count
+
+
+def extension_part(m: Model) -> Callable:
+    def write(table: pa.Table) -> pa.Table:
+        path, width = posix(m.path), np.uint64(m.words + 2)
+        part, keys, n = merged(table)
+        pairs = load(path, f"pair-{part}")
+        key = pairs["key"]
+        first = (key // width).astype(np.int64)
+        before = np.zeros(len(key), np.int64)
+        before[np.searchsorted(key, keys)] = n
+        begins = np.flatnonzero(first == m.words + 1)
+        before[begins] = uncapped(pairs, begins)
         at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        follow = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts == 1, counts == 2, counts >= 3)])
-        save(path, f"first-{part}", first[at])
-        save(path, f"follow-{part}", follow.astype(np.int32))
+        follow = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (before == 1, before == 2, before >= 3, before)])
+        save(path, f"follow-{part}", first=first[at], follow=narrow(follow), **capped(before))
         hot = np.flatnonzero(np.isin(first[at], np.array(m.hot, np.int64)))
-        rows = [[int(first[at][i]), *map(int, follow[:, i]), 0, 0] for i in hot]
-        rows.append([-1, *(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(keys)])
+        rows = [[int(first[at][i]), *map(int, follow[:, i])] for i in hot]
+        rows.append([-1, *(int((before == k).sum()) for k in (1, 2, 3, 4))])
         return pa.table({"part": pa.array([part] * len(rows), pa.int32()), "stats": pa.array(rows, pa.list_(pa.int64()))})
 
     return write
@@ -284,9 +414,10 @@ def continuations(m: Model) -> Callable:
         path, start = posix(m.path), m.start
         for batch in batches:
             for p in batch.column("part").to_pylist():
-                if not os.path.exists(f"{path}/pair-{p}.npy"):
+                pairs = load(path, f"pair-{p}")
+                if pairs is None:
                     continue
-                second, n = counted((load(path, f"pair-{p}") % np.uint64(m.words + 2)).astype(np.int64))
+                second, n = counted((pairs["key"] % np.uint64(m.words + 2)).astype(np.int64))
                 yield from blocks(np.searchsorted(start, second, "right") - 1, second, n)
 
     return count
@@ -298,7 +429,7 @@ def continuation_part(m: Model) -> Callable:
         if part < len(m.sizes):
             dense = np.zeros(m.sizes[part], np.int32)
             dense[ids.astype(np.int64) - m.start[part]] = n
-            save(posix(m.path), f"before-{part}", dense)
+            save(posix(m.path), f"before-{part}", before=dense)
         row = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 2).sum()), int(n.sum()) if part == len(m.sizes) else 0]
         return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([row], pa.list_(pa.int64()))})
 
@@ -325,59 +456,99 @@ def train(docs: DataFrame) -> Model:
     m.hot = sorted([int(start[r.part]) + i for r in found for i, n in r.often if n * share > m.tokens] + [m.words + 1] * (m.docs * share > m.tokens))
     if not m.docs:
         return m
-    parts = docs.mapInArrow(pair_counts(m), BLOCK).groupBy("part").applyInArrow(pair_part(m), "part int, stats array<bigint>")
-    stats = parts.select(F.col("stats")[0].alias("first"), *[F.col("stats").getItem(k).alias(f"s{k}") for k in range(1, 6)])
-    total = {r[0]: list(r[1:]) for r in stats.groupBy("first").agg(*[F.sum(f"s{k}") for k in range(1, 6)]).collect()}
-    every = total.pop(-1)
-    m.hot_follow = {k: tuple(v[:3]) for k, v in total.items()}
-    m.discount, m.kinds = discounts(np.array(every[:4])), every[4]
+    tasks = min(m.pairs, MERGERS)
     ranges = spark.range(m.pairs).select(F.col("id").cast("int").alias("part")).repartition(min(m.pairs, 4 * spark.sparkContext.defaultParallelism))
-    before = ranges.mapInArrow(continuations(m), BLOCK).groupBy("part").applyInArrow(continuation_part(m), "part int, stats array<bigint>")
-    n1, n2, n3, n4, n3p, m.end_before = before.agg(*[F.sum(F.col("stats")[k]) for k in range(6)]).first()
+
+    def merge(df: DataFrame, step: Callable, part: Callable) -> DataFrame:
+        return df.mapInArrow(step(m), BLOCK).repartition(tasks, "part").groupBy("part").applyInArrow(part(m), "part int, stats array<bigint>")
+
+    def sums(n: int) -> list[Column]:
+        return [F.sum(F.col("stats").getItem(k)) for k in range(n)]
+
+    m.kinds = merge(docs, pair_counts, pair_part).agg(*sums(1)).first()[0]
+    m.top_discount = discounts(np.array([x or 0 for x in merge(docs, triple_counts, triple_part).agg(*sums(4)).first()]))
+    stats = merge(ranges, extensions, extension_part).select(F.col("stats")[0].alias("first"), *[F.col("stats").getItem(k).alias(f"s{k}") for k in range(1, 5)])
+    total = {r[0]: list(r[1:]) for r in stats.groupBy("first").agg(*[F.sum(f"s{k}") for k in range(1, 5)]).collect()}
+    m.discount = discounts(np.array(total.pop(-1)))
+    m.hot_follow = {k: tuple(v) for k, v in total.items()}
+    n1, n2, n3, n4, n3p, m.end_before = ranges.mapInArrow(continuations(m), BLOCK).groupBy("part").applyInArrow(continuation_part(m), "part int, stats array<bigint>").agg(*sums(6)).first()
     d = m.low_discount = discounts(np.array([n1, n2, n3, n4]))
     m.low_rest = (d[0] * n1 + d[1] * n2 + d[2] * n3p) / m.kinds
     return m
 
 
-class Pairs:
-    """Probabilities of bigrams, from the memory-mapped parts."""
+def within(a: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each x stands, or would, in the sorted run a[low:high]."""
+    low, end = low.copy(), high.copy()
+    todo = np.flatnonzero(low < end)
+    while len(todo):
+        mid = (low[todo] + end[todo]) >> 1
+        less = a[mid] < x[todo]
+        low[todo[less]] = mid[less] + 1
+        end[todo[~less]] = mid[~less]
+        todo = todo[low[todo] < end[todo]]
+    return low
+
+
+class Grams:
+    """Counts of bigrams and trigrams, and the mass that their contexts leave to others, from the memory-mapped parts."""
 
     def __init__(self, m: Model):
-        self.m, self.path, self.open = m, posix(m.path), {}
-        self.hot = {k: np.array(v) for k, v in m.hot_follow.items()}
-
-    def part(self, p: int) -> tuple[np.ndarray, ...] | None:
-        if p not in self.open:
-            there = os.path.exists(f"{self.path}/pair-{p}.npy")
-            self.open[p] = tuple(load(self.path, f"{k}-{p}") for k in ("pair", "seen", "many", "first", "follow")) if there else None
-        return self.open[p]
-
-    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each bigram's count, and for its first word the mass D1 N1 + D2 N2 + D3 N3 left to all others."""
-        width, m = np.int64(self.m.words + 2), self.m
-        key = first * width + second
-        count, rest = np.zeros(len(key), np.int64), np.zeros(len(key))
-        part = pair_parts(first, second, m)
+        self.m, self.path, self.open = m, posix(m.path), OrderedDict()
+
+    def file(self, name: str) -> dict[str, np.ndarray] | None:
+        if name not in self.open:
+            self.open[name] = load(self.path, name)
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
+        return self.open[name]
+
+    def parts(self, part: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.lexsort((key, part))
-        cut = np.searchsorted(part[order], np.arange(m.pairs + 1))
-        for p in np.unique(part).tolist():
-            got = self.part(p)
-            if got is None:
+        cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])), len(part)) if len(part) else [0]
+        for a, b in zip(cut, cut[1:], strict=False):
+            yield int(part[order[a]]), order[a:b]
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each bigram's part, rank in it (-1: not there), count, number of words before it; its first word's sum of such numbers and mass left."""
+        m, d = self.m, np.array(self.m.discount)
+        key, part = first * np.int64(m.words + 2) + second, pair_parts(first, second, m)
+        rank = np.full(len(key), -1, np.int64)
+        count, before, led = (np.zeros(len(key), np.int64) for _ in range(3))
+        rest = np.zeros(len(key))
+        for p, mine in self.parts(part, key):
+            pairs, lower = self.file(f"pair-{p}"), self.file(f"follow-{p}")
+            if pairs is None:
                 continue
-            mine = order[cut[p] : cut[p + 1]]
-            pair, seen, many, firsts, follow = got
             k = key[mine].astype(np.uint64)
-            at = np.minimum(np.searchsorted(pair, k), len(pair) - 1)
-            there = pair[at] == k
-            n = np.where(there, seen[at], 0).astype(np.int64)
-            big = np.flatnonzero(n == 255)
-            n[big] = many[1][np.searchsorted(many[0], at[big])]
-            count[mine] = n
-            at = np.minimum(np.searchsorted(firsts, first[mine]), len(firsts) - 1)
-            there = firsts[at] == first[mine]
-            rest[mine] = np.where(there, np.array(m.discount) @ follow[:, at], 0.0)
-        for h in m.hot:
-            rest[first == h] = np.array(m.discount) @ self.hot.get(h, np.zeros(3))
+            at = np.minimum(np.searchsorted(pairs["key"], k), len(pairs["key"]) - 1)
+            there = pairs["key"][at] == k
+            rank[mine[there]] = at[there]
+            count[mine[there]], before[mine[there]] = uncapped(pairs, at[there]), uncapped(lower, at[there])
+            at = np.minimum(np.searchsorted(lower["first"], first[mine]), len(lower["first"]) - 1)
+            there = lower["first"][at] == first[mine]
+            follow = lower["follow"][:, at[there]].astype(np.int64)
+            rest[mine[there]], led[mine[there]] = d @ follow[:3], follow[3]
+        for h in m.hot:  # dealt over all parts
+            follow = np.array(m.hot_follow.get(h, (0, 0, 0, 0)))
+            rest[first == h], led[first == h] = d @ follow[:3], follow[3]
+        return part, rank, count, before, led, rest
+
+    def triples(self, part: np.ndarray, rank: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each trigram's count, given its first two words' part and rank, and the mass those leave."""
+        count, rest = np.zeros(len(part), np.int64), np.zeros(len(part))
+        d = self.m.top_discount
+        for p, mine in self.parts(part, rank):
+            got = self.file(f"triple-{p}")
+            if got is None:
+                continue
+            low, high, once, twice = (got[k][rank[mine] + i].astype(np.int64) for k, i in (("start", 0), ("start", 1), ("once", 0), ("twice", 0)))
+            rest[mine] = d[0] * once + d[1] * twice + d[2] * (high - low - once - twice)
+            at = within(got["third"], low, high, third[mine])
+            there = at < high
+            there[there] = got["third"][at[there]] == third[mine[there]]
+            count[mine[there]] = uncapped(got, at[there])
         return count, rest
 
 
@@ -387,7 +558,7 @@ def discounted(n: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
 
 def score_with(m: Model) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pairs = Words(m, *(("times", "before") if m.kinds else ())), Pairs(m)
+        vocabulary, grams = Words(m, *(("times", "before") if m.kinds else ())), Grams(m)
         floor = 1.0 / (m.vocabulary + 1)
         for batch in batches:
             for b in slices(batch, "text", 4 << 20):
@@ -400,19 +571,24 @@ def score_with(m: Model) -> Callable:
                 times, before = (np.empty(len(second), np.int64) for _ in range(2))
                 for out, name, last in ((times, "times", m.docs), (before, "before", m.end_before)):
                     out[~end], out[end] = got.get(name, zero)[at], last
-                # the words' own counts stand for how often they come first; the begin comes once in a text
-                led = np.empty_like(times)
-                led[1:] = times[:-1]
-                led[first == m.words + 1] = m.docs
                 low = np.maximum(discounted(before, m.low_discount), 0) / max(m.kinds, 1) + m.low_rest * floor
                 p = low.copy()
-                known = np.flatnonzero(led > 0)
+                known = np.flatnonzero(first >= 0) if m.docs else np.empty(0, np.int64)
                 if len(known):
-                    inside = (first[known] * np.int64(m.words + 2) + np.maximum(second[known], 0)).astype(np.int64)
-                    some, back = np.unique(inside, return_inverse=True)
-                    count, rest = pairs.find(some // (m.words + 2), some % (m.words + 2))
-                    count, rest = np.where(second[known] < 0, 0, count[back]), rest[back]
-                    p[known] = (np.maximum(discounted(count, m.discount), 0) + rest * low[known]) / led[known]
+                    width, new = np.int64(m.words + 2), second < 0
+                    some, back = np.unique(first[known] * width + np.maximum(second[known], 0), return_inverse=True)
+                    part, rank, count, ahead, led, rest = grams.pairs(some // width, some % width)
+                    n = np.where(new[known], 0, ahead[back])
+                    p[known] = (np.maximum(discounted(n, m.discount), 0) + rest[back] * low[known]) / led[back]
+                    # the bigram before is the context: all of its occurrences but those at the end go on
+                    pair = np.full(len(second), -1, np.int64)
+                    pair[known] = np.where(new[known] | (rank[back] < 0), -1, back)
+                    top = 1 + np.flatnonzero((first[1:] != m.words + 1) & (pair[:-1] >= 0))
+                    some, back = np.unique(pair[top - 1] * width + np.maximum(second[top], 0), return_inverse=True)
+                    context = some // width
+                    n, rest = grams.triples(part[context], rank[context], some % width)
+                    n = np.where(new[top], 0, n[back])
+                    p[top] = (np.maximum(discounted(n, m.top_discount), 0) + rest[back] * p[top]) / count[context][back]
                 start = np.cumsum(per + 1) - per - 1
                 base = np.log10((times + 1) / (m.tokens + m.vocabulary + 1))
                 n = len(per)

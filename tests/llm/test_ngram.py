@@ -17,34 +17,49 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low)
 
 
+def plain_steps(train):
+    """A function of a text: p of each of its tokens, the end the last, by dictionaries."""
+    train = [["<", *tokens(t), None] for t in train]
+    one = Counter(w for t in train for w in t[1:])
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    three = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    before1 = Counter(w for _, w in two)
+    before2 = Counter((v, w) for _, v, w in three)
+    before2.update({(v, w): c for (v, w), c in two.items() if v == "<"})
+    levels = []
+    for counts in (before1, before2, three):
+        follow, led = defaultdict(lambda: [0, 0, 0]), Counter()
+        for gram, c in counts.items():
+            context = gram[:-1] if isinstance(gram, tuple) else ()
+            follow[context][min(c, 3) - 1] += 1
+            led[context] += c
+        d = ngram.discounts(np.array([sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]))
+        levels.append((counts, follow, led, d))
+
+    def steps(text):
+        t, out = ["<", *tokens(text), None], []
+        for i in range(1, len(t)):
+            p = 1 / (len(one) + 1)
+            for n, (counts, follow, led, d) in enumerate(levels):
+                context = tuple(t[i - n : i])
+                if i < n or not led[context]:
+                    break
+                c = counts[(*context, t[i]) if n else t[i]]
+                p = (max(c - (0, *d)[min(c, 3)], 0) + sum(a * b for a, b in zip(d, follow[context])) * p) / led[context]
+            out.append(p)
+        return out
+
+    return steps
+
+
 def plain(rows):
-    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    one = Counter(w for t in train for w in [*t, None])
-    two = Counter(p for t in train for p in zip(["<", *t], [*t, None]))
-    n, v = sum(one.values()), len(one)
-
-    def disc(counts):
-        k = [sum(c == i for c in counts) for i in (1, 2, 3, 4)]
-        return ngram.discounts(__import__("numpy").array(k))
-
-    before, follow = Counter(w for _, w in two), defaultdict(lambda: [0, 0, 0])
-    for (h, _), c in two.items():
-        follow[h][min(c, 3) - 1] += 1
-    d2, d1 = disc(two.values()), disc(before.values())
-    rest1 = sum(d1[min(c, 3) - 1] for c in before.values()) / len(two)
-    led = Counter(w for t in train for w in ["<", *t])
-    off = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
-    out = {}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, steps = Counter(w for t in train for w in [*tokens(t), None]), plain_steps(train)
+    n, v, out = sum(one.values()), len(one), {}
     for i, t in rows:
-        t = [*tokens(t), None]
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        total = 0.0
-        for h, w in zip(["<", *t], t):
-            p = off(before[w], d1) / len(two) + rest1 / (v + 1)
-            if led[h]:
-                p = (off(two[h, w], d2) + sum(a * b for a, b in zip(d2, follow[h])) * p) / led[h]
-            total += math.log10(p)
-        out[i] = (len(t), sum(w in one for w in t), n, base, total)
+        all_of = [*tokens(t), None]
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in all_of)
+        out[i] = (len(all_of), sum(w in one for w in all_of), n, base, sum(map(math.log10, steps(t))))
     return out
 
 
@@ -77,36 +92,31 @@ def test_empty_table(spark):
     assert row.train_tokens == 0 and row.score == 0.0
 
 
-def plain_steps(train, text):
-    """p of each token of a text, the end the last, by dictionaries."""
-    two = Counter(p for t in map(tokens, train) for p in zip(["<", *t], [*t, None]))
-    one = Counter(w for t in map(tokens, train) for w in [*t, None])
-    before, led, follow = Counter(w for _, w in two), Counter(w for t in map(tokens, train) for w in ["<", *t]), defaultdict(lambda: [0, 0, 0])
-    for (h, _), c in two.items():
-        follow[h][min(c, 3) - 1] += 1
-    disc = lambda counts: ngram.discounts(np.array([sum(c == i for c in counts) for i in (1, 2, 3, 4)]))
-    d2, d1 = disc(list(two.values())), disc(list(before.values()))
-    rest = sum(d1[min(c, 3) - 1] for c in before.values()) / len(two)
-    off = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
-    out = []
-    for h, w in zip(["<", *tokens(text)], [*tokens(text), None]):
-        p = off(before[w], d1) / len(two) + rest / (len(one) + 1)
-        out.append((off(two[h, w], d2) + sum(a * b for a, b in zip(d2, follow[h])) * p) / led[h] if led[h] else p)
-    return out
-
-
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(["a b a", "b c", "a c c"])], "doc_id long, text string, held_out boolean")
     m = ngram.train(docs)
     assert m.vocabulary == 4
-    known, probe = ["a", "b", "c"], ["a", "b", "c", "a zz"]
+    known, probe = ["a", "b", "c"], ["a", "b", "c", "a zz", "a b", "a c", "b c", "zz a", "c c"]
     texts = [*(f"{h} {w}" for h in probe for w in [*known, "new"]), *probe, *(w for w in [*known, "new"])]
     rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], docs.schema)
     score = {texts[r.doc_id]: r.score for r in ngram.scores(rows, m).collect()}
     # the model's scores are those of the plain steps, and the plain steps sum to one
-    steps = lambda t: plain_steps(["a b a", "b c", "a c c"], t)
+    steps = plain_steps(["a b a", "b c", "a c c"])
     for t in texts:
         assert math.isclose(score[t], sum(math.log10(p) for p in steps(t)), rel_tol=1e-9)
     for h in ["", *probe]:  # each known word, one unknown word, the end
         after = [steps(f"{h} {w}".strip())[len(h.split())] for w in [*known, "new"]] + [steps(h)[-1]]
         assert math.isclose(sum(after), 1.0, rel_tol=1e-9), h
+
+
+def test_hot_and_often(spark):
+    """Words with a large share of all tokens, n-grams of 255 and more, many parts."""
+    rows = [(i, " ".join(["the", f"w{i % 7}", "the"] * (i % 9 + 1) + [f"x{i}", "the end"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(spark, rows, docs)
+
+
+def test_within():
+    a = np.array([1, 4, 9, 2, 3, 8, 8])
+    low, high, x = np.array([0, 0, 3, 3, 5, 2]), np.array([3, 3, 5, 7, 5, 3]), np.array([4, 10, 1, 8, 7, 9])
+    assert ngram.within(a, low, high, x).tolist() == [1, 3, 3, 5, 5, 2]
