@@ -4,10 +4,10 @@ The model is a set of sorted arrays in the shared folder, written by the tasks t
 the tasks that score; no task holds more than one part of it and the driver none.
 
 * words: sorted 64-bit hashes with counts, cut by the hash's leading bits; a word's id is its rank;
-* bigrams: sorted keys first * (V + 2) + second with counts, dealt by the first word. First words with a large share
-  of all tokens (HOT_SHARE) are dealt by both words;
+* bigrams: for each first word its sorted second words with counts, dealt by the first word. First words with a large
+  share of all tokens (HOT_SHARE) are dealt by both words;
 * trigrams, dealt as their first two words are: by rank of that bigram in its part, the sorted third words with counts;
-  how many third words occur once and twice;
+  where these are many, how many occur once and twice;
 * lower orders: how many different words stand before a bigram (one after the begin: its count) and before a word, and
   how many second words of a first word have such a number of one, two, more.
 
@@ -40,6 +40,8 @@ WORD_PART, PAIR_PART = 64 << 20, 16 << 20
 HELD = 4_000_000
 #: A first word with over 1 / (HOT_SHARE * parts) of all tokens is dealt by both words.
 HOT_SHARE = 4
+#: Third words of a bigram whose counts are looked through when asked; for more it is kept how many occur once and twice.
+FEW = 8
 #: Files a scoring task holds mapped at a time; Linux allows 65,530 maps a process.
 OPEN = 48_000
 #: Tasks that merge parts, at most; beyond that a task merges several, one after the other.
@@ -219,7 +221,7 @@ def word_part(path: str, bits: int, most: int) -> Callable:
         part, keys, counts = merged(table)
         often: list[list[int]] = []
         if part < 1 << bits:
-            save(path, f"word-{part}", word=keys, times=counts)
+            save(path, f"word-{part}", word=keys, times=narrow(counts))
             top = np.flatnonzero(counts * most > counts.sum())
             often = [[int(i), int(counts[i])] for i in top]
             return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "tokens": pa.array([0], pa.int64()), "docs": pa.array([0], pa.int64()), "often": pa.array([often], pa.list_(pa.list_(pa.int64())))})
@@ -313,12 +315,19 @@ def pair_counts(m: Model) -> Callable:
 def pair_part(m: Model) -> Callable:
     def write(table: pa.Table) -> pa.Table:
         part, keys, counts = merged(table)
-        save(posix(m.path), f"pair-{part}", key=keys, **capped(counts))
+        first, width = keys // np.uint64(m.words + 2), np.uint64(m.words + 2)
+        start = np.append(np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])), len(keys))
+        save(posix(m.path), f"pair-{part}", first=narrow(first[start[:-1]]), start=narrow(start), second=narrow(keys % width), **capped(counts))
         return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([[len(keys)]], pa.list_(pa.int64()))})
 
     return write
 
 
+def pair_keys(pairs: dict[str, np.ndarray], m: Model) -> np.ndarray:
+    """The sorted keys first * (V + 2) + second of a part."""
+    return np.repeat(pairs["first"].astype(np.uint64), np.diff(pairs["start"].astype(np.int64))) * np.uint64(m.words + 2) + pairs["second"]
+
+
 def triple_counts(m: Model) -> Callable:
     """Trigrams as (key of the first two words, third word), dealt as those two are. Sent off whenever HELD are there."""
 
@@ -353,12 +362,13 @@ def triple_part(m: Model) -> Callable:
         path, width = posix(m.path), np.uint64(m.words + 2)
         part, pair, n = unblocked(table)
         third = np.concatenate([unpack(t.as_py(), k) for t, k in zip(table.column("thirds"), table.column("n").to_pylist(), strict=True)])
-        own = load(path, f"pair-{part}")["key"]
+        own = pair_keys(load(path, f"pair-{part}"), m)
         key, n = counted(np.searchsorted(own, pair).astype(np.uint64) * width + third, n)
         at = (key // width).astype(np.int64)
-        once, twice = (np.bincount(at[n == k], minlength=len(own)) for k in (1, 2))
         start = np.searchsorted(at, np.arange(len(own) + 1))
-        save(path, f"triple-{part}", third=narrow(key % width), start=narrow(start), once=narrow(once), twice=narrow(twice), **capped(n))
+        many = np.flatnonzero(np.diff(start) > FEW)
+        once, twice = (np.bincount(at[n == k], minlength=len(own))[many] for k in (1, 2))
+        save(path, f"triple-{part}", third=narrow(key % width), start=narrow(start), long=narrow(many), once=narrow(once), twice=narrow(twice), **capped(n))
         row = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([row], pa.list_(pa.int64()))})
 
@@ -376,31 +386,34 @@ def extensions(m: Model) -> Callable:
                 if pairs is None:
                     continue
                 # a count of 0, so that every part of the bigrams is merged
-                yield from blocks(np.array([p]), pairs["key"][:1], np.zeros(1, np.int64))
+                own = pair_keys(pairs, m)
+                yield from blocks(np.array([p]), own[:1], np.zeros(1, np.int64))
                 if got is not None:
-                    middle = np.repeat((pairs["key"] % np.uint64(width)).astype(np.int64), np.diff(got["start"].astype(np.int64)))
+                    middle = np.repeat(pairs["second"].astype(np.int64), np.diff(got["start"].astype(np.int64)))
                     key, n = counted(middle * width + got["third"].astype(np.int64))
                     yield from blocks(pair_parts(key // width, key % width, m), key, n)
 
     return count
 
 
+#: For a first word: how many of its bigrams have one, two, more words before them, and the sum of all.
+FOLLOW = ("one", "two", "more", "sum")
+
+
 def extension_part(m: Model) -> Callable:
     def write(table: pa.Table) -> pa.Table:
-        path, width = posix(m.path), np.uint64(m.words + 2)
+        path = posix(m.path)
         part, keys, n = merged(table)
         pairs = load(path, f"pair-{part}")
-        key = pairs["key"]
-        first = (key // width).astype(np.int64)
-        before = np.zeros(len(key), np.int64)
-        before[np.searchsorted(key, keys)] = n
-        begins = np.flatnonzero(first == m.words + 1)
-        before[begins] = uncapped(pairs, begins)
-        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        follow = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (before == 1, before == 2, before >= 3, before)])
-        save(path, f"follow-{part}", first=first[at], follow=narrow(follow), **capped(before))
-        hot = np.flatnonzero(np.isin(first[at], np.array(m.hot, np.int64)))
-        rows = [[int(first[at][i]), *map(int, follow[:, i])] for i in hot]
+        first, start = pairs["first"].astype(np.int64), pairs["start"].astype(np.int64)
+        before = np.zeros(start[-1], np.int64)
+        before[np.searchsorted(pair_keys(pairs, m), keys)] = n
+        for k in np.flatnonzero(first == m.words + 1):
+            before[start[k] : start[k + 1]] = uncapped(pairs, np.arange(start[k], start[k + 1]))
+        follow = [np.add.reduceat(x.astype(np.int64), start[:-1]) for x in (before == 1, before == 2, before >= 3, before)]
+        save(path, f"follow-{part}", **{k: narrow(x) for k, x in zip(FOLLOW, follow, strict=True)}, **capped(before))
+        hot = np.flatnonzero(np.isin(first, np.array(m.hot, np.int64)))
+        rows = [[int(first[i]), *(int(x[i]) for x in follow)] for i in hot]
         rows.append([-1, *(int((before == k).sum()) for k in (1, 2, 3, 4))])
         return pa.table({"part": pa.array([part] * len(rows), pa.int32()), "stats": pa.array(rows, pa.list_(pa.int64()))})
 
@@ -417,7 +430,7 @@ def continuations(m: Model) -> Callable:
                 pairs = load(path, f"pair-{p}")
                 if pairs is None:
                     continue
-                second, n = counted((pairs["key"] % np.uint64(m.words + 2)).astype(np.int64))
+                second, n = counted(pairs["second"].astype(np.int64))
                 yield from blocks(np.searchsorted(start, second, "right") - 1, second, n)
 
     return count
@@ -429,7 +442,7 @@ def continuation_part(m: Model) -> Callable:
         if part < len(m.sizes):
             dense = np.zeros(m.sizes[part], np.int32)
             dense[ids.astype(np.int64) - m.start[part]] = n
-            save(posix(m.path), f"before-{part}", before=dense)
+            save(posix(m.path), f"before-{part}", before=narrow(dense))
         row = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 2).sum()), int(n.sum()) if part == len(m.sizes) else 0]
         return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([row], pa.list_(pa.int64()))})
 
@@ -521,15 +534,18 @@ class Grams:
             pairs, lower = self.file(f"pair-{p}"), self.file(f"follow-{p}")
             if pairs is None:
                 continue
-            k = key[mine].astype(np.uint64)
-            at = np.minimum(np.searchsorted(pairs["key"], k), len(pairs["key"]) - 1)
-            there = pairs["key"][at] == k
-            rank[mine[there]] = at[there]
-            count[mine[there]], before[mine[there]] = uncapped(pairs, at[there]), uncapped(lower, at[there])
-            at = np.minimum(np.searchsorted(lower["first"], first[mine]), len(lower["first"]) - 1)
-            there = lower["first"][at] == first[mine]
-            follow = lower["follow"][:, at[there]].astype(np.int64)
-            rest[mine[there]], led[mine[there]] = d @ follow[:3], follow[3]
+            firsts = pairs["first"]
+            at = np.minimum(np.searchsorted(firsts, first[mine].astype(firsts.dtype)), len(firsts) - 1)
+            there = firsts[at] == first[mine]
+            mine, at = mine[there], at[there]
+            follow = [lower[k][at].astype(np.int64) for k in FOLLOW]
+            rest[mine], led[mine] = d @ follow[:3], follow[3]
+            low, high = (pairs["start"][at + k].astype(np.int64) for k in (0, 1))
+            at = within(pairs["second"], low, high, second[mine])
+            there = at < high
+            there[there] = pairs["second"][at[there]] == second[mine[there]]
+            mine, at = mine[there], at[there]
+            rank[mine], count[mine], before[mine] = at, uncapped(pairs, at), uncapped(lower, at)
         for h in m.hot:  # dealt over all parts
             follow = np.array(m.hot_follow.get(h, (0, 0, 0, 0)))
             rest[first == h], led[first == h] = d @ follow[:3], follow[3]
@@ -543,7 +559,16 @@ class Grams:
             got = self.file(f"triple-{p}")
             if got is None:
                 continue
-            low, high, once, twice = (got[k][rank[mine] + i].astype(np.int64) for k, i in (("start", 0), ("start", 1), ("once", 0), ("twice", 0)))
+            low, high = (got["start"][rank[mine] + k].astype(np.int64) for k in (0, 1))
+            once, twice = np.zeros((2, len(mine)), np.int64)
+            short = high - low <= FEW
+            for k in range(FEW):
+                some = np.flatnonzero(short & (low + k < high))
+                n = got["seen"][low[some] + k]
+                once[some], twice[some] = once[some] + (n == 1), twice[some] + (n == 2)
+            if not short.all():
+                at = np.searchsorted(got["long"], rank[mine[~short]].astype(got["long"].dtype))
+                once[~short], twice[~short] = got["once"][at], got["twice"][at]
             rest[mine] = d[0] * once + d[1] * twice + d[2] * (high - low - once - twice)
             at = within(got["third"], low, high, third[mine])
             there = at < high
