@@ -1,23 +1,27 @@
 """Embedding near-duplicates (operator 3): an epsilon grid order join.
 
 Unit vectors with cosine >= t lie within eps = sqrt(2 - 2 t) of one another. Vectors are projected on their leading
-principal dimensions, sorted by the grid cells (width eps) there, and the sequence is cut into blocks. Blocks whose
-boxes lie over eps apart never meet. The others are joined by halving both intervals recursively: two
+principal dimensions, sorted by the grid cells (width eps) there, and the sequence is cut into blocks, each a file in
+the shared folder. Blocks whose boxes lie over eps apart never meet. Of the others the names travel, in grid order, and
+tasks memory-map the files; so what is shuffled doesn't grow with the pairs of blocks times their vectors. They are joined by halving both intervals recursively: two
 intervals whose boxes lie over eps apart are skipped, short ones are compared by matrix products in double
 precision. Equal vectors are one node with a count, so a group of copies costs one comparison.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Table, columns_or_null, components, spanning
+from .common import Table, columns_or_null, components, load, new_path, posix, save, spanning
 
 THRESHOLD = 0.9
 #: Principal dimensions that order the sequence, and that boxes hold.
@@ -28,11 +32,11 @@ BLOCK, LEAF = 4096, 256
 SLACK = 1e-6
 
 
-def unit(vectors: list, dims: int) -> np.ndarray:
+def unit(vectors: pa.Array, dims: int) -> np.ndarray:
     """Rows of length one, shorter vectors padded with zeros."""
-    x = np.zeros((len(vectors), dims))
-    for i, v in enumerate(vectors):
-        x[i, : len(v)] = v
+    size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, row = np.zeros((len(size), dims)), np.repeat(np.arange(len(size)), size)
+    x[row, np.arange(len(row)) - (np.cumsum(size) - size)[row]] = vectors.flatten().to_numpy(zero_copy_only=False)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -42,7 +46,7 @@ def _moments(dims: int) -> Callable:
         n, s, xx = 0, np.zeros(dims), np.zeros((dims, dims))
         for b in batches:
             if b.num_rows:
-                x = unit(b.column("embedding").to_pylist(), dims)
+                x = unit(b.column("embedding"), dims)
                 n, s, xx = n + len(x), s + x.sum(0), xx + x.T @ x
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([s.tolist()]), pa.array([xx.ravel().tolist()])], ["n", "s", "xx"])
@@ -65,34 +69,38 @@ def _cells(axes: np.ndarray, eps: float) -> Callable:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = unit(b.column("embedding").to_pylist(), len(axes))
+                x = unit(b.column("embedding"), len(axes))
                 cells = np.floor(x @ axes[:, :ORDER_DIMS] / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], [*b.schema.names, "cell"])
 
     return place
 
 
-def _blocks(axes: np.ndarray) -> Callable:
-    """Rows arrive in grid order; a block holds their vectors and its box on the box dimensions."""
-    schema = pa.schema([("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("x", pa.binary())])
+def _blocks(axes: np.ndarray, path: str) -> Callable:
+    """Rows arrive in grid order; a block is a file of their vectors, told by its name and its box on the box dimensions."""
+    schema = pa.schema([("name", pa.string()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
 
-    def block(ids: list, copies: list, vectors: list) -> pa.RecordBatch:
-        x = unit(vectors, len(axes))
+    def block(k: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        x = unit(rows.column("embedding").combine_chunks(), len(axes))
         y = x @ axes[:, :BOX_DIMS]
-        row = [[y.min(0).tolist()], [y.max(0).tolist()], [ids], [copies], [x.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+        # an attempt's own name: only blocks of the attempt that counts are known
+        name = f"{TaskContext.get().partitionId():08d}-{k:08d}-{os.urandom(4).hex()}"
+        save(path, name, x=x, ids=rows.column("node").to_numpy(), copies=rows.column("copies").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((name, y.min(0).tolist(), y.max(0).tolist()), schema, strict=True)], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, copies, vectors = [], [], []
+        held, n, k = [], 0, 0
         for b in batches:
-            ids += b.column("node").to_pylist()
-            copies += b.column("copies").to_pylist()
-            vectors += b.column("embedding").to_pylist()
-            while len(ids) >= BLOCK:
-                yield block(ids[:BLOCK], copies[:BLOCK], vectors[:BLOCK])
-                ids, copies, vectors = ids[BLOCK:], copies[BLOCK:], vectors[BLOCK:]
-        if ids:
-            yield block(ids, copies, vectors)
+            at = 0
+            while at < b.num_rows:
+                held.append(b.slice(at, BLOCK - n))
+                n, at = n + held[-1].num_rows, at + held[-1].num_rows
+                if n == BLOCK:
+                    yield block(k, held)
+                    held, n, k = [], 0, k + 1
+        if held:
+            yield block(k, held)
 
     return cut
 
@@ -137,19 +145,22 @@ def join_sequences(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: fl
     return i, j
 
 
-def _join(axes: np.ndarray, threshold: float) -> Callable:
+def _join(axes: np.ndarray, threshold: float, path: str) -> Callable:
     """For a pair of blocks: (node, its copies' links, a node it is connected with)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, one = None, {}
         for b in batches:
-            for k in range(b.num_rows):
-                r = {c: b.column(c)[k] for c in b.schema.names}
-                same = r["same"].as_py()
-                x, y = (np.frombuffer(r[c].as_buffer(), np.float64).reshape(-1, len(axes)) for c in ("x", "x2"))
-                i, j = join_sequences(x, y, axes, threshold, same)
+            for name, name2 in zip(b.column("name").to_pylist(), b.column("name2").to_pylist(), strict=True):
+                if name != held:
+                    held, one = name, load(path, name)
+                same = name == name2
+                two = one if same else load(path, name2)
+                x = one["x"]
+                i, j = join_sequences(x, two["x"], axes, threshold, same)
                 if not len(i):
                     continue
-                ids, copies = (np.concatenate([r[c].values.to_numpy()] + [r[c + "2"].values.to_numpy()] * (not same)) for c in ("ids", "copies"))
+                ids, copies = (np.concatenate([one[c]] + [two[c]] * (not same)) for c in ("ids", "copies"))
                 j = j if same else j + len(x)
                 links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
                 to = np.arange(len(ids))
@@ -183,21 +194,19 @@ def similar(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = "node bigint, embedding array<double>, copies bigint"
     placed = nodes.select("node", "embedding", "copies").mapInArrow(_cells(axes, eps), f"{kept}, cell array<int>")
     placed = placed.repartitionByRange(max(1, -(-n // (2 * BLOCK))), "cell", "embedding").sortWithinPartitions("cell", "embedding")
-    sequence = placed.mapInArrow(_blocks(axes), "lo array<double>, hi array<double>, ids array<bigint>, copies array<bigint>, x binary")
-    blocks = Table(sequence.withColumn("block", F.monotonically_increasing_id()), "blocks").df
+    path = posix(new_path(spark, "vectors"))
+    blocks = Table(placed.mapInArrow(_blocks(axes, path), "name string, lo array<double>, hi array<double>"), "blocks").df
     # a row for thousands of vectors: blocks meet where their cells on the first dimension touch
-    meta = blocks.select("block", "lo", "hi", *[F.floor(F.col(k)[0] / eps).cast("bigint").alias(f"{k}_cell") for k in ("lo", "hi")])
-    left = meta.select("block", "lo", "hi", F.explode(F.sequence(F.col("lo_cell") - 1, F.col("hi_cell") + 1)).alias("cell"))
-    right = meta.select(*[F.col(k).alias(f"{k}2") for k in ("block", "lo", "hi")], F.explode(F.sequence("lo_cell", "hi_cell")).alias("cell"))
+    meta = blocks.select("name", "lo", "hi", *[F.floor(F.col(k)[0] / eps).cast("bigint").alias(f"{k}_cell") for k in ("lo", "hi")])
+    left = meta.select("name", "lo", "hi", F.explode(F.sequence(F.col("lo_cell") - 1, F.col("hi_cell") + 1)).alias("cell"))
+    right = meta.select(*[F.col(k).alias(f"{k}2") for k in ("name", "lo", "hi")], F.explode(F.sequence("lo_cell", "hi_cell")).alias("cell"))
     minus = lambda u, v: F.zip_with(u, v, lambda a, b: a - b)
     gaps = F.zip_with(minus("lo", "hi2"), minus("lo2", "hi"), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     near = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g) <= (eps + SLACK) ** 2
-    pairs = left.join(right, "cell").where((F.col("block") <= F.col("block2")) & near).select("block", "block2").distinct()
-    two = blocks.select(*[F.col(k).alias(f"{k}2") for k in ("block", "ids", "copies", "x")])
-    met = pairs.join(blocks.select("block", "ids", "copies", "x"), "block").join(two, "block2")
-    met = met.select((F.col("block") == F.col("block2")).alias("same"), "ids", "ids2", "copies", "copies2", "x", "x2")
+    pairs = Table(left.join(right, "cell").where((F.col("name") <= F.col("name2")) & near).select("name", "name2").distinct(), "pairs").df
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = Table(met.repartition(tasks).mapInArrow(_join(axes, threshold), "node bigint, links bigint, other bigint"), "links").df
+    met = pairs.repartitionByRange(tasks, "name", "name2").sortWithinPartitions("name", "name2")
+    found = Table(met.mapInArrow(_join(axes, threshold, path), "node bigint, links bigint, other bigint"), "links").df
     comp = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(comp, "node", "left").join(links, "node", "left")

@@ -17,10 +17,6 @@ and send delta-coded blocks, one for each part; so what is shuffled is a few byt
 
 from __future__ import annotations
 
-import json
-import mmap
-import os
-import sys
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -32,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import columns_or_null, new_path, posix, slices, words
+from .common import columns_or_null, load, new_path, posix, save, slices, words
 
 #: Input bytes to a part of the words, and of the bigrams.
 WORD_PART, PAIR_PART = 64 << 20, 16 << 20
@@ -156,38 +152,6 @@ def uncapped(got: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     return n
 
 
-def save(path: str, name: str, **arrays: np.ndarray) -> None:
-    """One file of named arrays; whole or not at all, whichever attempt of the task comes last."""
-    os.makedirs(path, exist_ok=True)
-    at, head = 0, {}
-    for k, x in arrays.items():
-        head[k] = [x.dtype.str, x.shape, at]
-        at += -(-x.nbytes // 64) * 64
-    told = json.dumps(head).encode()
-    start = -(-(8 + len(told)) // 64) * 64
-    own = f"{path}/.{name}-{os.getpid()}-{os.urandom(6).hex()}"
-    with open(own, "wb") as f:
-        f.write(start.to_bytes(8, "little") + told.ljust(start - 8))
-        for x in arrays.values():
-            f.write(np.ascontiguousarray(x).tobytes().ljust(-(-x.nbytes // 64) * 64, b"\0"))
-    os.replace(own, f"{path}/{name}.bin")
-
-
-def load(path: str, name: str) -> dict[str, np.ndarray] | None:
-    """A file's arrays over one memory map, which keeps no file open; None if there is none."""
-    try:
-        with open(f"{path}/{name}.bin", "rb") as f:
-            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
-    except FileNotFoundError:
-        return None
-    start = int.from_bytes(whole[:8], "little")
-    out = {}
-    for k, (kind, shape, at) in json.loads(whole[8:start]).items():
-        size = int(np.prod(shape))
-        out[k] = np.frombuffer(whole, kind, size, start + at).reshape(shape) if size else np.empty(shape, kind)
-    return out
-
-
 def hashes(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Different words' hashes, and for each word which one it is."""
     coded = flat.dictionary_encode()
