@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import json
 import mmap
 import os
@@ -167,6 +168,14 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def give_back() -> None:
+    """Hand what the C library and Arrow keep of freed memory back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of whole rows whose texts hold about `most` bytes; a longer text is a run of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import columns_or_null, load, new_path, posix, save, slices, words
+from .common import columns_or_null, give_back, load, new_path, posix, save, slices, words
 
 #: Input bytes to a part of the words, and of the bigrams.
 WORD_PART, PAIR_PART = 64 << 20, 16 << 20
@@ -86,15 +86,17 @@ def discounts(n: np.ndarray) -> tuple[float, ...]:
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and their counts summed. What is given is sorted in place, so that it isn't held twice."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys[:], counts[:] = keys[order], counts[order]
+        del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     if counts is None:
         return keys[first], np.diff(np.append(first, len(keys)))
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -124,9 +126,12 @@ def blocks(part: np.ndarray, keys: np.ndarray, counts: np.ndarray, thirds: np.nd
 
 
 def unblocked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    give_back()
     sizes = table.column("n").to_pylist()
-    keys = np.concatenate([np.cumsum(unpack(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), sizes, strict=True)])
-    counts = np.concatenate([unpack(c.as_py(), n).astype(np.int64) for c, n in zip(table.column("counts"), sizes, strict=True)])
+    keys = np.empty(sum(sizes), np.uint64)
+    for k, n, end in zip(table.column("keys"), sizes, np.cumsum(sizes), strict=True):
+        np.cumsum(unpack(k.as_py(), n), out=keys[end - n : end])
+    counts = np.concatenate([narrow(unpack(c.as_py(), n)) for c, n in zip(table.column("counts"), sizes, strict=True)])
     return table.column("part")[0].as_py(), keys, counts
 
 
@@ -258,6 +263,8 @@ def pair_counts(m: Model) -> Callable:
 
         def reduce() -> tuple[np.ndarray, np.ndarray]:
             new = counted(np.concatenate(held)) if held else (np.empty(0, np.int64),) * 2
+            held.clear()
+            give_back()
             return counted(np.concatenate([keys, new[0]]), np.concatenate([counts, new[1]]))
 
         for batch in batches:
@@ -269,7 +276,7 @@ def pair_counts(m: Model) -> Callable:
                 rows += len(first)
                 if rows > HELD:
                     keys, counts = reduce()
-                    held, rows = [], 0
+                    rows = 0
         keys, counts = reduce()
         yield from blocks(pair_parts(keys // width, keys % width, m), keys, counts)
 
@@ -300,10 +307,16 @@ def triple_counts(m: Model) -> Callable:
         held: list = []
 
         def sent() -> Iterator[pa.RecordBatch]:
-            some, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            key, n = counted(back * width + np.concatenate([x for _, x in held]))
-            pair = some[key // width]
+            pairs, thirds = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            some, key = np.unique(pairs, return_inverse=True)
+            del pairs
+            key *= width
+            key += thirds
+            del thirds
+            key, n = counted(key)
+            pair = some[key // width]
+            give_back()
             yield from blocks(pair_parts(pair // width, pair % width, m), pair, n, key % width)
 
         for batch in batches:
@@ -324,10 +337,12 @@ def triple_counts(m: Model) -> Callable:
 def triple_part(m: Model) -> Callable:
     def write(table: pa.Table) -> pa.Table:
         path, width = posix(m.path), np.uint64(m.words + 2)
-        part, pair, n = unblocked(table)
-        third = np.concatenate([unpack(t.as_py(), k) for t, k in zip(table.column("thirds"), table.column("n").to_pylist(), strict=True)])
-        own = pair_keys(load(path, f"pair-{part}"), m)
-        key, n = counted(np.searchsorted(own, pair).astype(np.uint64) * width + third, n)
+        part, key, n = unblocked(table)
+        own, end = pair_keys(load(path, f"pair-{part}"), m), 0
+        for t, k in zip(table.column("thirds"), table.column("n").to_pylist(), strict=True):
+            some = slice(end, end := end + k)
+            key[some] = np.searchsorted(own, key[some]).astype(np.uint64) * width + unpack(t.as_py(), k)
+        key, n = counted(key, n)
         at = (key // width).astype(np.int64)
         start = np.searchsorted(at, np.arange(len(own) + 1))
         many = np.flatnonzero(np.diff(start) > FEW)
