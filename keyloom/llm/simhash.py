@@ -150,11 +150,26 @@ def plane_order(key: int) -> list[int]:
     return [b for b in range(64) if b not in inside] + inside
 
 
-def link_sorted(key: np.ndarray, fp: np.ndarray, order_of: Callable[[int], list[int]], radius: int = RADIUS, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def taken(label: np.ndarray, i: np.ndarray, j: np.ndarray, same: Callable[[int, int], bool]) -> np.ndarray:
+    """Places of the pairs of rows (i ascending) that `same` takes; pairs that are one component by then aren't asked for."""
+    names, back = np.unique(label[np.concatenate([i, j])], return_inverse=True)
+    root, x, y, out = np.arange(len(names)), back[: len(i)], back[len(i) :], []
+    for rest in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+        while len(rest := rest[root[x[rest]] != root[y[rest]]]):
+            at, rest = int(rest[0]), rest[1:]
+            if same(int(i[at]), int(j[at])):
+                out.append(at)
+                low, high = sorted((int(root[x[at]]), int(root[y[at]])))
+                root[root == high] = low
+    return np.array(out, np.int64)
+
+
+def link_sorted(key: np.ndarray, fp: np.ndarray, order_of: Callable[[int], list[int]], radius: int = RADIUS, size: int | None = None, same: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (row, row) among fingerprints sorted by key; all rows of a key are here.
 
     Slices of the sequence are compared with themselves and, while a key runs on, with the slices after.
     Slices whose members are one component by then are skipped: no comparison could change anything.
+    same: an exact check of two rows that must follow before they are linked.
     """
     n, size = len(fp), size or SLICE
     label = np.arange(n)
@@ -173,8 +188,10 @@ def link_sorted(key: np.ndarray, fp: np.ndarray, order_of: Callable[[int], list[
                     continue
             i, j = near(fp[a:b], made[t], d - c, order_of(int(key[c])), radius)
             i, j = i + a, j + c
-            live = label[i] != label[j]
-            if live.any():
+            live = np.flatnonzero(label[i] != label[j])
+            if same and live.size:
+                live = live[taken(label, i[live], j[live], same)]
+            if live.size:
                 i, j = label[i[live]], label[j[live]]
                 nodes, back = np.unique(np.concatenate([i, j]), return_inverse=True)
                 node, low = spanning(back[: len(i)], back[len(i) :], len(nodes))
@@ -265,6 +282,9 @@ WIDTH = 5
 BUCKETS, PIECES, PARITY = 1 << 20, 16, 16
 #: Pairs a task remembers as unlike. Bits of a place in a file of sets.
 UNLIKE, PLACE = 1 << 20, 36
+#: A set's fingerprint has 256 bits, words of 64; each word is cut into blocks of these bits, and each block is a key. Sets 0.8 alike differ
+#: in 39 bits on average (standard deviation 6), strangers in 128: sets within WIDE_RADIUS are compared themselves.
+WORDS, CUTS, WIDE_RADIUS = 4, (13, 13, 13, 13, 12), 64
 
 
 def alike(both: int, a: int, b: int) -> bool:
@@ -283,7 +303,23 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-SETS = "doc_id bigint, text_hash bigint, digest binary, node bigint, piece int, counts binary"
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """64 more bits of each hash (splitmix64) for each k; the hashes themselves for 0."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> list[int]:
+    """The SimHash of a set: WORDS words, as signed longs, each the majority of 64 bits of all distinct shingles."""
+    return np.array([majority(mixed(shingles, k)) for k in range(WORDS)], np.uint64).view(np.int64).tolist()
+
+
+FINGERPRINT = [f"f{k}" for k in range(WORDS)]
+SETS = "doc_id bigint, text_hash bigint, digest binary, node bigint, piece int, counts binary, " + ", ".join(f"{f} bigint" for f in FINGERPRINT)
 
 
 def bucket(shingles: np.ndarray) -> np.ndarray:
@@ -298,7 +334,7 @@ def _write_sets(folder: str) -> Callable:
 
     def rows(**columns: list) -> pa.RecordBatch:
         n = max(len(c) for c in columns.values())
-        types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "digest": pa.binary(), "node": pa.int64(), "piece": pa.int32(), "counts": pa.binary()}
+        types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "digest": pa.binary(), "node": pa.int64(), "piece": pa.int32(), "counts": pa.binary()} | {f: pa.int64() for f in FINGERPRINT}
         return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns.get(k, [None] * n), t) for k, t in types.items()], list(types))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,11 +343,12 @@ def _write_sets(folder: str) -> Callable:
         seen = np.zeros(BUCKETS, np.int64)
         with open(f"{folder}/{own}.bin", "wb") as f:
             for b in batches:
-                lower, digest, node, held, many = pc.ascii_lower(pc.fill_null(b.column("text"), "")), [], [], [], 0
+                lower, digest, node, fp, held, many = pc.ascii_lower(pc.fill_null(b.column("text"), "")), [], [], [], [], 0
                 for t in lower:
                     s = shingle_set(t.as_py())
                     f.write(np.concatenate([np.array([len(s)], np.uint64), parity(s), s]).tobytes())
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    fp.append(wide_fingerprint(s))
                     node.append(own << PLACE | at)
                     at += 1 + PARITY + len(s)
                     held.append(bucket(s))
@@ -322,7 +359,7 @@ def _write_sets(folder: str) -> Callable:
                 if held:
                     seen += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 f.flush()
-                yield rows(doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), digest=digest, node=node)
+                yield rows(doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), digest=digest, node=node, **{f: [x[k] for x in fp] for k, f in enumerate(FINGERPRINT)})
         yield rows(piece=list(range(PIECES)), counts=[pa.compress(x.astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for x in np.split(seen, PIECES)])
 
     return write
@@ -371,6 +408,62 @@ class Sets:
             os.close(fd)
 
 
+class Alike:
+    """The exact check that follows the fingerprints: whether the sets of two nodes are 0.8 alike or more."""
+
+    def __init__(self, folder: str):
+        self.sets, self.unlike, self.last = Sets(folder), set(), (None, None)
+
+    def read(self, node: int, head: np.ndarray) -> np.ndarray:
+        if self.last[0] != node:
+            self.last = (node, self.sets.shingles(node, int(head[0])))
+        return self.last[1]
+
+    def __call__(self, a: int, b: int) -> bool:
+        if a == b:
+            return True
+        pair = (min(a, b), max(a, b))
+        if pair in self.unlike:
+            return False
+        x, y = self.sets.head(a), self.sets.head(b)
+        m, n = int(x[0]), int(y[0])
+        # sets 0.8 alike differ in a ninth of their sizes' sum at most
+        if 5 * min(m, n) >= 4 * max(m, n) and 9 * int(np.bitwise_count(x[1:] ^ y[1:]).sum(dtype=np.int64)) <= m + n:
+            if alike(len(np.intersect1d(self.read(a, x), self.sets.shingles(b, n), assume_unique=True)), m, n):
+                return True
+        if len(self.unlike) >= UNLIKE:
+            self.unlike.clear()
+        self.unlike.add(pair)
+        return False
+
+
+def _wide_links(folder: str) -> Callable:
+    blocks = np.repeat(np.arange(WORDS * len(CUTS)), CUTS * WORDS).tolist()
+    orders = [[b for b in range(64 * WORDS) if blocks[b] != k] + [b for b in range(64 * WORDS) if blocks[b] == k] for k in range(WORDS * len(CUTS))]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        check = Alike(folder)
+        for key, number, node, *words in grouped(batches, 200_000, ("key", "seg", "node", *FINGERPRINT)):
+            fp, names = np.stack(words, axis=1).view(np.uint64), node.tolist()
+            # a number for each (key, segment pair), with the block in front
+            a, b = link_sorted((key >> max(CUTS) << 32) + number, fp, lambda k: orders[k >> 32], WIDE_RADIUS, same=lambda i, j: check(names[i], names[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        check.sets.close()
+
+    return link
+
+
+def wide_links(nodes: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) found by fingerprints: sets that agree in a block are compared bit-sliced, and those within WIDE_RADIUS bits by themselves."""
+    keys = []
+    for f in FINGERPRINT:
+        for k, n in enumerate(CUTS):
+            keys.append(F.lit(len(keys) << max(CUTS)).cast("bigint") + F.shiftrightunsigned(f, sum(CUTS[:k])).bitwiseAND(F.lit((1 << n) - 1)))
+    rows = nodes.select("node", *FINGERPRINT, F.explode(F.array(*keys)).alias("key"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments(rows, "node").repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_wide_links(folder), "a bigint, b bigint")
+
+
 def prefix(shingles: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The first shingles of a set in one order for all sets: by how often their bucket was seen, then by hash.
 
@@ -388,17 +481,17 @@ def _prefixes(folder: str, seen: bytes) -> Callable:
         sets, often = Sets(folder), np.frombuffer(seen, np.float32)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                nodes = b.column("node").slice(at, 1000).to_numpy()
+                nodes, labels = (b.column(c).slice(at, 1000).to_numpy() for c in ("node", "label"))
                 made = [prefix(sets.shingles(v, int(sets.head(v)[0])), often) for v in nodes.tolist()]
-                key, node = np.concatenate(made), np.repeat(nodes, [len(k) for k in made])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(often[bucket(key)] > HOT)], ["key", "node", "common"])
+                key, (node, label) = np.concatenate(made), (np.repeat(x, [len(k) for k in made]) for x in (nodes, labels))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(label), pa.array(often[bucket(key)] > HOT)], ["key", "node", "label", "common"])
         sets.close()
 
     return rows
 
 
 def _alike_links(folder: str) -> Callable:
-    """Links among the sets of each group, every pair that is not linked already decided by the sets themselves."""
+    """Links among the sets of each group, every pair that is not linked already (label: by fingerprints) decided by the sets themselves."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, root, unlike = Sets(folder), {}, set()
@@ -409,8 +502,12 @@ def _alike_links(folder: str) -> Callable:
                 v = up
             return v
 
-        for _, number, node in grouped(batches, 100_000, ("key", "seg", "node")):
+        for _, number, node, found in grouped(batches, 100_000, ("key", "seg", "node", "label")):
             a, b = [], []
+            for v, up in set(zip(node[node != found].tolist(), found[node != found].tolist(), strict=True)):
+                low, high = sorted((find(v), find(up)))
+                if low != high:
+                    root[high] = low
             for group in np.split(node, np.flatnonzero(np.diff(number)) + 1):
                 if len({find(v) for v in group.tolist()}) == 1:
                     continue
@@ -448,32 +545,40 @@ def _alike_links(folder: str) -> Callable:
     return link
 
 
+def rest_links(nodes: DataFrame, folder: str, seen: bytes) -> DataFrame:
+    """Links (a, b) that fingerprints may have missed: sets of different components so far (label) that share a shingle of their prefixes."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # nodes are few bytes for sets of many: dealt out anew, else one task would read all sets
+    prefixes = Table(nodes.select("node", "label").repartition(n, "node").mapInArrow(_prefixes(folder, seen), "key bigint, node bigint, label bigint, common boolean"), "prefixes")
+    rows = prefixes.df
+    dealt = segments(rows.where("common").drop("common"), "node").unionByName(rows.where("not common").drop("common").withColumn("seg", F.lit(0).cast("bigint")))
+    linked = Table(dealt.repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_alike_links(folder), "a bigint, b bigint"), "links")
+    prefixes.drop()
+    return linked.df
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """A row (doc_id, text_hash, component_id, kept) for each row of docs: near duplicates whose sets of 5-word shingles are 0.8 alike or more.
 
-    Exact up to equal hashes: pairs meet under a shingle that both have in their prefix, and a link is the similarity
-    of the two sets. Sets lie in files of the shared folder, which workers read. component_id is the smallest doc_id
+    SimHash fingerprints of the sets find the pairs (`wide_links`), and a link is the similarity of the two sets. No number of bits holds all
+    pairs at 0.8, so sets that fingerprints left apart meet under a shingle that both have in their prefix, too (`rest_links`). All in all
+    exact up to equal hashes. The sets lie in files of the shared folder, which workers read. component_id is the smallest doc_id
     reached over links (null if no row there has one); kept marks the row of that id, of several the one with the smallest text_hash
     (xxhash64 of the text), and all rows equal to it in both. Documents without words are one group. Empty tables give no rows.
     """
     spark = docs.sparkSession
     folder_url = new_path(spark, "sets")
     folder = posix(folder_url)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = columns_or_null(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64("text"))
     made = Table(texts.mapInArrow(_write_sets(folder), SETS), "wide").df
-    each = made.where("node is not null").select("doc_id", "text_hash", "digest", "node")
+    each = made.where("node is not null").select("doc_id", "text_hash", "digest", "node", *FINGERPRINT)
     me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    nodes = Table(each.groupBy("digest").agg(F.min(me).alias("low"), F.min("node").alias("node")), "nodes").df
+    nodes = Table(each.groupBy("digest").agg(F.min(me).alias("low"), F.min("node").alias("node"), *[F.min(f).alias(f) for f in FINGERPRINT]), "nodes").df
     pieces = made.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_add_counts, "piece int, counts binary")
     seen = b"".join(r.counts for r in sorted(pieces.collect())) or bytes(4 * BUCKETS)
-    # nodes are few bytes for sets of many: dealt out anew, else one task would read all sets
-    prefixes = Table(nodes.select("node").repartition(n, "node").mapInArrow(_prefixes(folder, seen), "key bigint, node bigint, common boolean"), "prefixes")
-    rows = prefixes.df
-    dealt = segments(rows.where("common").select("key", "node"), "node").unionByName(rows.where("not common").select("key", "node", F.lit(0).cast("bigint").alias("seg")))
-    linked = dealt.repartition(n, "key", "seg").sortWithinPartitions("key", "seg").mapInArrow(_alike_links(folder), "a bigint, b bigint")
-    found = components(linked)  # a table by now: sets and prefixes have been read
-    prefixes.drop()
+    near = Table(wide_links(nodes, folder), "links").df
+    by_bits = nodes.select("node").join(components(near), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+    found = components(near.unionByName(rest_links(by_bits, folder, seen)))
     drop_path(spark, folder_url)
     named = nodes.join(found, "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component"))
     label = named.join(lowest(named), "component").select("digest", "first")

@@ -178,3 +178,69 @@ def test_every_pair_at_the_threshold(spark, monkeypatch, hot):
     want = plain_similar(docs)
     assert all(want[1000 + i] == i and want[2000 + i] == 2000 + i for i in range(120))
     assert similar(spark, docs) == want
+
+
+def test_wide_fingerprints():
+    rng = random.Random(1)
+    text = " ".join(prose(rng, 60) + prose(rng, 1) * 30)
+    h = {xxhash.xxh64_intdigest(" ".join(s), 42) for s in plain_sets(text)}
+
+    def more(x, k):
+        x = (x + k * 0x9E3779B97F4A7C15) % (1 << 64)
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    words = [[more(x, k) if k else x for x in h] for k in range(4)]
+    want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in w) > len(w)) for w in words]
+    assert [f % (1 << 64) for f in simhash.wide_fingerprint(simhash.shingle_set(text))] == want
+    assert simhash.wide_fingerprint(simhash.shingle_set("")) == [0] * 4
+
+
+@pytest.mark.parametrize("cut", [1024, 64])
+def test_exact_check_after_fingerprints(cut):
+    rng = np.random.default_rng(cut)
+    fp = rng.integers(0, 1 << 64, (12, 4), np.uint64)[rng.integers(0, 12, 400)]
+    for _ in range(25):
+        fp[np.arange(400), rng.integers(0, 4, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    name = rng.integers(0, 6, 400)
+    asked = set()
+
+    def same(i, j):
+        assert (i, j) not in asked
+        asked.add((i, j))
+        return name[i] == name[j]
+
+    got = simhash.link_sorted(np.zeros(400, np.int64), fp, lambda k: list(range(256)), 30, cut, same)
+    label = np.arange(400)
+    label[got[0]] = got[1]
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 30
+    want = np.arange(400)
+    while True:
+        low = np.where(near & (name[:, None] == name[None]), want[None], 400).min(1)
+        if (low == want).all():
+            break
+        want = low
+    assert (label == want).all() and len(set(want)) > 12
+
+
+def test_fingerprints_find_the_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    line, docs = prose(rng, 14), []
+    for i in range(100):  # copies 0.9 alike, texts half alike, and a common line in all of them
+        text = prose(rng, rng.randint(100, 500)) + line * (1 + i % 9)
+        n = len(plain_sets(" ".join(text)))
+        docs += [(i, " ".join(text)), (1000 + i, " ".join(text[n // 10 :])), (2000 + i, " ".join(text[n // 2 :]))]
+    want = plain_similar(docs)
+    assert all(want[1000 + i] == i and want[2000 + i] == 2000 + i for i in range(100))
+    labels, rest = [], simhash.rest_links
+
+    def seen(nodes, *others):
+        labels.append(nodes.groupBy("label").count().where("count > 1").count())
+        return rest(nodes, *others)
+
+    monkeypatch.setattr(simhash, "rest_links", seen)
+    assert similar(spark, docs) == want
+    monkeypatch.setattr(simhash, "rest_links", lambda nodes, *_: spark.createDataFrame([], "a bigint, b bigint"))
+    got = similar(spark, docs)
+    assert all(got[i] in (want[i], i) for i in got) and labels == [sum(got[1000 + i] == i for i in range(100))] and labels[0] >= 95
