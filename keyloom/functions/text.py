@@ -23,13 +23,22 @@ def sanitize_filename(text: Column, longest: int = LONGEST_NAME) -> Column:
     return F.coalesce(F.nullif(F.left(F.btrim(plain, F.lit("_ ")), F.lit(longest)), F.lit("")), F.lit("unnamed"))
 
 
+def capital(letter: Column) -> Column:
+    """A letter's capital where that is one letter, as SQL's upper has it; else the letter."""
+    one = lambda c: F.length(c) == 1
+    return F.when(one(F.upper(letter)), F.upper(letter)).when(one(F.initcap(letter)), F.initcap(letter)).when(letter == "\u00df", "\u1e9e").otherwise(letter)
+
+
 def simplify_description(text: Column) -> Column:
-    """Without the set phrases, white space collapsed, the first letter a capital; null is empty."""
+    """Without the set phrases, white space collapsed, the first letter a capital; null is empty.
+
+    White space inside is SQL's (no vertical tab), at the ends any space of Unicode goes; a long s counts as an s.
+    """
     plain = F.coalesce(text, F.lit(""))
     for p in PHRASES:
-        plain = F.regexp_replace(plain, f"(?i){p}", "")
-    plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
-    return F.concat(F.upper(F.left(plain, F.lit(1))), F.substring(plain, 2, 1 << 30))
+        plain = F.regexp_replace(plain, "(?i)" + p.replace("s", "[s\u017f]"), "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t\n\f\r]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.transform(F.array(plain), lambda x: F.concat(capital(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30)))[0]  # the text is made once
 
 
 def slug(text: Column) -> Column:

@@ -70,3 +70,9 @@ def test_union_resample_of_odd_events(spark, tmp_path):
 
 def test_value_at_time_of_odd_events(spark, tmp_path):
     agree(spark, tmp_path, "value_at_time", "events", odd_events(), EVENTS)
+
+
+def test_simplify_text_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " ", " a b ", "　 ", "a\x0bb\x85c", "the video ſhowſ x", "the vıdeo shows", "THIS İMAGE", "the image shows", "tail \n", "x "]
+    rows = [(4 * k + 2, x + "rest" if i else x, "en", "s", 1) for k, (x, i) in enumerate([(x, 0) for x in texts] + [(c, 1) for c in "ßŉǆﬁıİᾳᾀΐe\U00010428"])]
+    agree(spark, tmp_path, "simplify_text", "documents", rows + [(r[0] + k, *r[1:]) for r in rows for k in (1, 2, 3)], "doc_id long, text string, lang string, source string, n_chars long")
