@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents
-from ..sources.corpus import table
+from ..sources.corpus import spread, table
 from .registry import query
 
 #: The same text in both dialects.
@@ -17,7 +17,7 @@ DRAWING = """'{"v":"5.5.2","fr":' || case when p_partkey % 3 = 0 then 30 else p_
 
 
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(DRAWING).alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.expr(DRAWING).alias("text"))
 
 
 GOOD = "in (0, 1, 3, 4, 5)"
