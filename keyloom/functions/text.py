@@ -124,7 +124,8 @@ def style_map(style: Column) -> Column:
 def dash_pairs(dashes: Column) -> Column:
     """Dash and gap pairs; an odd list counts twice over."""
     even = F.when(F.size(dashes) % 2 == 1, F.concat(dashes, dashes)).otherwise(dashes)
-    return F.when(F.size(even) == 0, F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(even) / 2).cast("int") - 1)), lambda i: F.slice(even, 2 * i + 1, F.lit(2))))
+    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(x) / 2).cast("int") - 1)), lambda i: F.slice(x, 2 * i + 1, F.lit(2)))
+    return F.transform(F.array(even), lambda x: F.when(F.size(x) == 0, F.array().cast("array<array<double>>")).otherwise(pairs(x)))[0]  # the list is made once, not for each pair
 
 
 def path_tokens(d: Column) -> Column:
