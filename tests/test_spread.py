@@ -21,3 +21,8 @@ def test_style_attributes_runs_on_all_cores(spark):
     assert most_tasks(registry.QUERIES["style_attributes"](spark, SF)) >= spark.sparkContext.defaultParallelism
     x = spark.range(1).select(*[t.dash_pairs(F.lit(v).cast("array<double>")).alias(f"c{i}") for i, v in enumerate(([1.0], [1.0, 2.0], []))]).first()
     assert list(x) == [[[1.0, 1.0]], [[1.0, 2.0]], []]
+
+
+@pytest.mark.parametrize("name", ["json_walk", "strip_round"])
+def test_walks_run_on_all_cores(spark, name):
+    assert most_tasks(registry.QUERIES[name](spark, SF)) >= spark.sparkContext.defaultParallelism
