@@ -26,3 +26,9 @@ def test_style_attributes_runs_on_all_cores(spark):
 @pytest.mark.parametrize("name", ["json_walk", "strip_round"])
 def test_walks_run_on_all_cores(spark, name):
     assert most_tasks(registry.QUERIES[name](spark, SF)) >= spark.sparkContext.defaultParallelism
+
+
+def test_encode_document_makes_no_row_for_each_command(spark):
+    df = registry.QUERIES["encode_document"](spark, SF)
+    assert most_tasks(df) >= spark.sparkContext.defaultParallelism
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
