@@ -32,3 +32,9 @@ def test_encode_document_makes_no_row_for_each_command(spark):
     df = registry.QUERIES["encode_document"](spark, SF)
     assert most_tasks(df) >= spark.sparkContext.defaultParallelism
     assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roundtrip_report_decodes_on_all_cores(spark):
+    df = registry.QUERIES["roundtrip_report"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Window" not in plan and "collect_list" not in plan
